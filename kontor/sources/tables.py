@@ -61,7 +61,7 @@ def load_customers(spark: SparkSession, path: str, fmt: str | None = None) -> Da
     reader = spark.read.option("header", True).option("multiLine", True).option("escape", '"') if fmt == "csv" else spark.read
     df = reader.format(fmt).load(path)
     # a byte-order mark of an exported CSV is not part of the first name
-    df = df.toDF(*[c.lstrip("﻿") for c in df.columns])
+    df = df.toDF(*[c.lstrip("\ufeff") for c in df.columns])
     if V.NAME not in df.columns:
         raise ValueError("Die Datei enthält die erforderliche Spalte KUNDENNAME nicht.")
     if df.limit(1).isEmpty():
