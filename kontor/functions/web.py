@@ -66,6 +66,13 @@ def _assemble(scheme_: Column, host: Column, path_: Column, query_: Column) -> C
     return F.concat(scheme_, F.lit("://"), host, path_, tail)
 
 
+def usable_url(raw: Column) -> Column:
+    """Will ``with_clean_url`` give a URL? Decided on the raw text, so it can be filtered on cheaply."""
+    value = T.strip(T.as_text(raw))
+    hosts = "|".join(h.replace(".", r"\.") for h in V.BLACKLISTED_HOSTS)
+    return value.rlike(r"(?i)^https?://[^/?#]") & ~value.rlike(rf"(?i)^https?://(?:www\.)?(?:{hosts})(?:[/?#].*)?$")
+
+
 def with_clean_url(df: DataFrame, value: Column, out: str) -> DataFrame:
     """Add ``out``: the web URL without document paths and tracking, '' when unusable."""
     t = f"__{out}"

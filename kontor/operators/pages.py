@@ -49,7 +49,7 @@ def parse_pages(pages: DataFrame) -> DataFrame:
 
 def _first_kind(text: Column) -> Column:
     kinds = list(V.PAGE_KEYWORDS.items())
-    has = lambda words: functools.reduce(lambda a, b: a | b, [F.contains(text, F.lit(w)) for w in words])
+    has = lambda words: text.rlike("|".join(words))
     return functools.reduce(lambda chain, item: chain.when(has(item[1]), item[0]), kinds[1:], F.when(has(kinds[0][1]), kinds[0][0]))
 
 
@@ -63,11 +63,11 @@ def internal_links(parsed: DataFrame) -> DataFrame:
     rows = parsed.select("site", "pos", "url", F.posexplode("links").alias("link_pos", "link"))
     rows = rows.select("site", "pos", "url", "link_pos", F.col("link.href").alias("href"),
                        F.col("link.text").alias("text"), F.col("link.url").alias("target"))
-    rows = rows.filter((F.col("href") != "") & ~F.col("href").rlike(r"^(?:mailto:|tel:|javascript:|#)"))
-    rows = U.with_clean_url(rows, F.col("target"), "link").filter("link <> ''")
-    same = F.lower(U.netloc(F.col("link"))) == F.lower(U.netloc(F.col("url")))
-    blocked = functools.reduce(lambda a, b: a | b, [F.contains(F.lower("link"), F.lit(t)) for t in V.BLOCKED_LINK_TOKENS])
-    return rows.filter(same & ~blocked).drop("target")
+    same = F.lower(U.netloc(F.col("target"))) == F.lower(U.netloc(F.col("url")))
+    rows = rows.filter((F.col("href") != "") & ~F.col("href").rlike(r"^(?:mailto:|tel:|javascript:|#)")
+                       & U.usable_url(F.col("target")) & same)
+    rows = U.with_clean_url(rows, F.col("target"), "link").drop("target")
+    return rows.filter(~F.lower("link").rlike("|".join(V.BLOCKED_LINK_TOKENS)))
 
 
 def frontier(parsed: DataFrame, max_pages: int = V.ANALYSIS_MAX_PAGES) -> DataFrame:
@@ -76,11 +76,12 @@ def frontier(parsed: DataFrame, max_pages: int = V.ANALYSIS_MAX_PAGES) -> DataFr
     Links rank by page kind, then by position; per start page at most ``max_pages`` rows leave a task.
     """
     links = internal_links(parsed)
-    combined = F.concat_ws(" ", T.casefold(F.col("text")), T.casefold(F.col("link")))
+    links = links.withColumn("words", F.concat_ws(" ", T.casefold(F.col("text")), T.casefold(F.col("link"))))
     kinds = F.array(*[F.lit(k) for k in V.PAGE_KEYWORDS])
-    ranked = links.withColumn("priority", F.array_position(kinds, _first_kind(combined).otherwise("")) - 1).filter(
-        (F.col("priority") >= 0) & (F.col("link") != F.col("url")))
-    best = ranked.groupBy("site", "pos", "url", "link").agg(F.min(F.struct("priority", "link_pos")).alias("place"))
+    ranked = links.withColumn("priority", F.array_position(kinds, _first_kind(F.col("words")).otherwise("")) - 1)
+    wanted = (F.col("priority") >= 0) & (F.col("link") != F.col("url"))
+    best = ranked.groupBy("site", "pos", "url", "link").agg(
+        F.min(F.when(wanted, F.struct("priority", "link_pos"))).alias("place")).filter("place IS NOT NULL")
     window = W.partitionBy("site", "pos", "url").orderBy("place")
     chosen = best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= max_pages - 1)
     home = parsed.select("site", "pos", "url", F.col("url").alias("page_url"), F.lit(0).alias("rank"))
@@ -161,12 +162,14 @@ def choose_phone(candidates: DataFrame, keys: list[str], order: Column) -> DataF
     aggregate, so a site with very many numbers needs no sort.
     """
     rows = C.with_phone(candidates, F.col("value"), "phone", source=F.col("source"), context=F.col("context"),
-                        require_context=F.col("require_context")).filter("phone <> ''")
+                        require_context=F.col("require_context"))
     rank = lambda column, table, default: functools.reduce(
         lambda chain, kv: chain.when(column == kv[0], kv[1]), list(table.items())[1:],
         F.when(column == next(iter(table)), next(iter(table.values())))).otherwise(default)
     place = F.struct(rank(F.col("source"), V.PHONE_SOURCE_RANK, 5), rank(F.col("phone_type"), V.PHONE_TYPE_RANK, 2), order)
-    return rows.groupBy(*keys).agg(F.min_by("phone", place).alias("phone"))
+    # The validity test sits in the aggregate: as a filter it would be pushed below the staged validation
+    # and repeat all of it.
+    return rows.groupBy(*keys).agg(F.min_by("phone", F.when(F.col("phone") != "", place)).alias("phone"))
 
 
 def choose_email(candidates: DataFrame, keys: list[str], order: Column) -> DataFrame:
