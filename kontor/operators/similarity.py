@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from kontor import vocab as V
 from kontor.functions import text as T
@@ -14,7 +15,7 @@ from kontor.operators.common import ROW_NO, attach
 from kontor.session import checkpointed
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """200 * LCS / (|a| + |b|), longest common subsequence by bit-parallel rows."""
     def score(a: str, b: str) -> float:
