@@ -167,3 +167,8 @@ def maps_url(name: Column, street: Column, postal: Column, city: Column, country
 def display_value(column: Column, empty: str = "") -> Column:
     value = clean_missing(column)
     return F.when(value == "", F.lit(empty)).otherwise(value)
+
+
+def or_null(column: Column) -> Column:
+    """NULL for '' (``nullif`` would add a common-expression projection per use)."""
+    return F.when(column != "", column)

@@ -140,7 +140,7 @@ def add_activities(activities: DataFrame, companies: DataFrame, batch: DataFrame
         "activity_type": checked,
         "occurred_at": F.when(occurred == "", F.lit(now[:16])).otherwise(occurred),
         "subject": T.strip(T.as_text(F.col("subject"))), "description": T.strip(T.as_text(F.col("description"))),
-        "follow_up_at": F.nullif(T.strip(T.as_text(F.col("follow_up_at"))), F.lit("")),
+        "follow_up_at": T.or_null(T.strip(T.as_text(F.col("follow_up_at")))),
         "created_at": F.lit(now)})
     named = companies.select("company_name", F.coalesce("city", F.lit("")).alias("city"))
     fresh = clean.select("company_name", "city").dropDuplicates().join(named, ["company_name", "city"], "left_anti")

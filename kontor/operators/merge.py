@@ -19,7 +19,7 @@ GROUP = ("n_name", "n_city")
 
 
 def _trimmed(name: str) -> Column:
-    return F.nullif(T.strip(T.as_text(F.col(name))), F.lit(""))
+    return T.or_null(T.strip(T.as_text(F.col(name))))
 
 
 def _ranked(companies: DataFrame, activities: DataFrame) -> DataFrame:

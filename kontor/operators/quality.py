@@ -234,7 +234,7 @@ def quality_score(rows: DataFrame, groups: DataFrame) -> DataFrame:
     """Score over non-empty rows; repeats are all group members but the first, in any category (A3)."""
     repeats = groups.agg(F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("repeats"))
     points = rows.filter(~F.col("n_empty")).agg(F.sum(_points() + 5).alias("points"), F.count(F.lit(1)).alias("n"))
-    share = F.bround((F.col("points") - 5 * F.col("repeats")) / F.nullif(F.col("n"), F.lit(0)))
+    share = F.bround((F.col("points") - 5 * F.col("repeats")) / F.when(F.col("n") != 0, F.col("n")))
     return one_row(points, repeats).select(F.coalesce(share, F.lit(0)).cast("bigint").alias("quality_score"))
 
 
@@ -259,7 +259,7 @@ def import_summary(df: DataFrame, rows: DataFrame | None = None, groups: DataFra
         F.coalesce(F.sum(F.when(F.col("category") == "identical", F.col("size") - 1)), F.lit(0)).alias("identical_duplicates"),
         total(F.col("category") != "identical").alias("similar_groups"),
         F.coalesce(F.sum(F.col("size") - 1), F.lit(0)).alias("repeats"))
-    share = F.bround((F.col("points") - 5 * F.col("repeats")) / F.nullif(F.col("n"), F.lit(0)))
+    share = F.bround((F.col("points") - 5 * F.col("repeats")) / F.when(F.col("n") != 0, F.col("n")))
     return one_row(counters, grouped).withColumn(
         "quality_score", F.coalesce(share, F.lit(0)).cast("bigint")).drop("points", "n", "repeats")
 

@@ -242,7 +242,7 @@ query("display_values", "X1 X6 X21", f"""SELECT row_no, CASE WHEN {O.clean('"STA
     lambda i: i.customers.select("row_no", T.display_value(F.col("STATUS"), "-").alias("status"), T.collapse(T.as_text(F.col("KUNDENNAME"))).alias("name")))
 query("street_agreement", "X11", f"""SELECT row_no, CASE WHEN length(replace(ln, ' ', '')) < 3 THEN 'match' WHEN length(replace(rn, ' ', '')) < 3 THEN 'missing' WHEN replace(ln, ' ', '') <> replace(rn, ' ', '') THEN 'conflict'
   WHEN lh <> '' AND rh <> '' AND lh <> rh THEN 'conflict' ELSE 'match' END AS state FROM (SELECT row_no, {O.street('c."STRASSE"')} AS ln, {O.house('c."STRASSE"')} AS lh, {O.street('k.street')} AS rn, {O.house('k.street')} AS rh
-  FROM v_customers c JOIN v_companies k ON row_no = id)""", "v_customers", "v_companies")(
+  FROM v_customers c JOIN v_companies k ON c.row_no = k.id)""", "v_customers", "v_companies")(
     lambda i: i.customers.join(i.companies.select(F.col("id").alias("row_no"), "street"), "row_no").select("row_no", A.street_match(F.col("STRASSE"), F.col("street")).alias("state")))
 
 # ------------------------------------------------------------------ CRM
