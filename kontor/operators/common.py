@@ -58,9 +58,9 @@ def nth_of_key(df: DataFrame, keys: Sequence[str], order: str = ROW_NO, out: str
     Rows are numbered inside slices of the order column; the slice counts per key give the offset.
     """
     sliced = df.withColumn("__slice", F.floor(F.col(order) / F.lit(RANK_BUCKET)))
-    counts = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__n"))
+    counts = sliced.groupBy(*keys, "__slice").agg(F.count(F.lit(1)).alias("__rows"))
     before = W.partitionBy(*keys).orderBy("__slice").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__rows").over(before), F.lit(0))).drop("__rows")
     inside = W.partitionBy(*keys, "__slice").orderBy(order)
     numbered = sliced.withColumn("__in", F.row_number().over(inside))
     joined = numbered.join(offsets, [*keys, "__slice"])

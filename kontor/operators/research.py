@@ -82,7 +82,7 @@ def match_results(customers: DataFrame, results: DataFrame, values: Column, *, u
         keyed = attach(keyed, winners, tier)
     hits = F.array_compact(F.array(*[F.col(f"__win{i}") for i in range(len(tiers))]))
     latest = F.array_max(F.transform(hits, lambda h: h["result_no"]))
-    return keyed.withColumn("__hit", F.filter(hits, lambda h: h["result_no"] == latest)[0]).drop(
+    return keyed.withColumn("__hit", F.try_element_at(F.filter(hits, lambda h: h["result_no"] == latest), F.lit(1))).drop(
         *[f"__win{i}" for i in range(len(tiers))])
 
 
@@ -346,3 +346,48 @@ def cached_result(requests: DataFrame, companies: DataFrame, *, force_refresh: b
         | (F.col("email") != F.col("stored_email")) | (F.col("status") != F.col("stored_status")))
     source = F.when(F.col("stored_source") == "", "SQLite").otherwise(F.col("stored_source"))
     return rows.withColumns({"changed": changed, "source": source}).drop("phone_reason", "phone_type")
+
+
+def research(requests: DataFrame, cache: DataFrame, candidates: DataFrame, parsed: DataFrame, now: str, *,
+             force_refresh: bool = False, use_street_matching: bool = True) -> DataFrame:
+    """Result of every requested company from cache, candidates and stored pages.
+
+    ``requests`` has company_name, city, street, zipcode, country. Cached companies answer directly; the
+    others take their best candidate whose site shows an agreeing address. When forced, the stored site
+    goes first among the candidates and must also show a contact. All companies are handled as one set, so
+    one without pages or candidates is a row with its reason, never an abort.
+    """
+    from kontor.operators.enrich import clean_pages
+    from kontor.operators.pages import contact_candidates, contact_frontier, site_contacts
+
+    known = cached_result(requests, cache, force_refresh=force_refresh, use_street_matching=use_street_matching)
+    names = ["company_name", "city"]
+    hits = known.filter("hit").select(
+        *names, "street", "zipcode", "country", "website", "phone", "email", F.col("stored_owner").alias("owner"), "status", "source",
+        F.col("stored_last_check").alias("last_check"), F.col("stored_id").alias("customer_id"), F.lit("").alias("match_reason"), "changed")
+    misses = known.filter("NOT hit").select(
+        *names, "street", "zipcode", "country", F.coalesce("stored_owner", F.lit("")).alias("owner"), "stored_id", "stored_website")
+    ranked = rank_candidates(candidates.join(misses.select(*names), names, "left_semi")).select(*names, "clean_url", "rank")
+    if force_refresh:
+        stored = U.with_clean_url(misses, F.col("stored_website"), "clean_url").filter("clean_url <> ''")
+        ranked = ranked.unionByName(stored.select(*names, "clean_url", F.lit(0).cast("bigint").alias("rank")))
+
+    pages = clean_pages(parsed)
+    found = contact_candidates(pages)
+    reached = contact_frontier(pages).select(F.col("url").alias("clean_url"), F.col("page_url").alias("url"), "rank")
+    bundles = reached.join(found.drop("site", "pos"), "url").withColumnRenamed("rank", "pos")
+    contacts = site_contacts(bundles, ["clean_url"])
+    offered = ranked.join(contacts, "clean_url", "left").join(misses.select(*names, "street", "zipcode"), names)
+    offered = offered.fillna("", subset=["phone", "email"])
+    if force_refresh:
+        offered = offered.filter("rank > 0 OR phone <> '' OR email <> ''")
+    picked = first_accepted_candidate(offered, use_street_matching)
+    fresh = misses.join(picked, names, "left").withColumns({
+        **{c: F.coalesce(c, F.lit("")) for c in ("website", "phone", "email")},
+        "match_reason": F.coalesce("match_reason", F.lit("Kein passender Webauftritt"))})
+    status = C.contact_status(F.col("website"), F.col("phone") != "", F.col("email") != "")
+    fresh = fresh.select(
+        *names, "street", "zipcode", "country", "website", "phone", "email", "owner", status.alias("status"),
+        F.when(F.col("website") == "", "Keine Website").otherwise("Website").alias("source"), F.lit(now[:16]).alias("last_check"),
+        F.col("stored_id").alias("customer_id"), "match_reason", F.lit(True).alias("changed"))
+    return hits.unionByName(fresh)
