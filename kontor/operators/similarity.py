@@ -15,6 +15,9 @@ from kontor.operators.common import ROW_NO, attach
 from kontor.session import checkpointed
 
 
+SHARD_ROWS = 500
+
+
 @pandas_udf(DoubleType())
 def ratio(left: pd.Series, right: pd.Series) -> pd.Series:
     """200 * LCS / (|a| + |b|), longest common subsequence by bit-parallel rows."""
@@ -40,6 +43,11 @@ def _bound(total_length: Column, threshold: int) -> Column:
     return F.floor(total_length * F.lit(100 - threshold) / F.lit(100)).cast("int")
 
 
+def _edit_distance_within(a: str, b: str, bound: Column) -> Column:
+    """Banded edit distance: stops as soon as the bound is passed, -1 means farther apart."""
+    return F.call_function("levenshtein", F.col(a), F.col(b), bound) >= 0
+
+
 def _longest_partner(length: Column, threshold: int) -> Column:
     return F.floor(length * F.lit(200 - threshold) / F.lit(threshold)).cast("int")
 
@@ -53,6 +61,12 @@ def _segments(length: Column, threshold: int) -> Column:
     return _bound(length + _longest_partner(length, threshold), threshold) + 1 + _spare(length)
 
 
+def _letters(name: Column) -> Column:
+    """Presence of letters as a 64-bit mask, several letters per bit."""
+    bits = F.transform(F.split(name, ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64))))
+    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+
+
 def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) -> DataFrame:
     """All pairs of distinct names with ratio >= threshold: (name_a, name_b, match).
 
@@ -70,8 +84,12 @@ def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) ->
     index = index.withColumn("key", F.xxhash64("len", "i", F.substring(F.col("name"), start + 1, stop - start)))
     common = index.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
     rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("uses"), "i"))
-    index = attach(index, common, ["key"]).withColumn("rank", rank).filter(
-        F.col("rank") > _spare(F.col("len"))).select("key", F.col("name").alias("name_a"), F.col("len").alias("len_a"))
+    index = attach(index, common, ["key"]).withColumn("rank", rank).filter(F.col("rank") > _spare(F.col("len")))
+    # a key that is still frequent is cut into shards of its index rows; its probes visit all shards
+    shards = F.ceil(F.col("uses") / F.lit(SHARD_ROWS)).cast("int")
+    index = index.select("key", F.pmod(F.xxhash64("name"), shards).cast("int").alias("shard"),
+                         F.col("name").alias("name_a"), F.col("len").alias("len_a"), _letters(F.col("name")).alias("letters_a"))
+    frequent = common.filter(F.col("uses") > SHARD_ROWS).select("key", shards.alias("shards"))
 
     def probes_for(m):
         parts, bound = _segments(m, threshold), _bound(m + F.col("len"), threshold)
@@ -91,15 +109,19 @@ def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) ->
     shortest = F.ceil(F.col("len") * F.lit(threshold) / F.lit(200 - threshold)).cast("int")
     probe = sized.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(
         F.sequence(F.greatest(shortest, F.lit(1)), F.col("len")), probes_for))))).select(
-        "key", F.col("name").alias("name_b"), F.col("len").alias("len_b"))
+        "key", F.col("name").alias("name_b"), F.col("len").alias("len_b"), _letters(F.col("name")).alias("letters_b"))
+    probe = attach(probe, frequent, ["key"]).withColumn(
+        "shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1))).drop("shards")
 
     bound = _bound(F.col("len_a") + F.col("len_b"), threshold)
-    candidates = index.join(probe, "key").filter(
+    candidates = index.join(probe, ["key", "shard"]).filter(
         (F.col("len_a") <= F.col("len_b"))
         & ((F.col("len_a") < F.col("len_b")) | (F.col("name_a") < F.col("name_b")))
         & (F.col("len_b") - F.col("len_a") <= bound)
+        # one insertion or deletion changes the presence of one letter at most
+        & (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= bound)
         # edit distance never exceeds the insert/delete distance
-        & (F.levenshtein("name_a", "name_b") <= bound))
+        & (_edit_distance_within("name_a", "name_b", bound)))
     pairs = candidates.select("name_a", "name_b").dropDuplicates()
     return pairs.withColumn("match", ratio("name_a", "name_b")).filter(F.col("match") >= threshold).select(
         F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "match")
@@ -168,7 +190,7 @@ def blocked_similar(rows: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) ->
     near = a.join(b, ["n_city", "signature"]).filter(
         (F.col("row_a") < F.col("row_b"))
         & (T.digit_runs(F.col("name_a")) == T.digit_runs(F.col("name_b")))
-        & (F.levenshtein("name_a", "name_b") <= bound))
+        & (_edit_distance_within("name_a", "name_b", bound)))
     pairs = near.select("row_a", "row_b", "name_a", "name_b").dropDuplicates(["row_a", "row_b"])
     return pairs.filter(ratio("name_a", "name_b") >= threshold).select("row_a", "row_b")
 
