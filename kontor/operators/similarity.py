@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import itertools
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import DoubleType
+from pyspark.sql.types import ArrayType, DoubleType, StringType
 
 from kontor import vocab as V
 from kontor.functions import text as T
@@ -16,6 +18,7 @@ from kontor.session import checkpointed
 
 
 SHARD_ROWS = 500
+MAX_DELETIONS = 3
 
 
 @pandas_udf(DoubleType())
@@ -67,19 +70,90 @@ def _letters(name: Column) -> Column:
     return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
 
 
+def _exact_bound(shorter: int, longer: int, threshold: int) -> int:
+    """Largest reachable insert/delete distance: within the threshold and of the parity of the joint length."""
+    bound = (shorter + longer) * (100 - threshold) // 100
+    return bound - (bound + shorter + longer) % 2
+
+
+def _deletions(shorter: int, longer: int, threshold: int) -> tuple[int, int]:
+    """How many characters each side loses to reach the longest common subsequence a pair must share."""
+    bound = _exact_bound(shorter, longer, threshold)
+    return (bound - longer + shorter) // 2, (bound + longer - shorter) // 2
+
+
+def _partners(longer: int, threshold: int) -> range:
+    """Lengths of shorter or equal names a name of this length can be similar to."""
+    return range(-(-longer * threshold // (200 - threshold)) or 1, longer + 1)
+
+
+def short_length(threshold: int) -> int:
+    """Names up to this length are joined by their subsequences: at most three deletions are needed."""
+    length = 0
+    while length < 64 and all(_deletions(m, length + 1, threshold)[1] <= MAX_DELETIONS for m in _partners(length + 1, threshold)):
+        length += 1
+    return length
+
+
+@pandas_udf(ArrayType(StringType()))
+def _subsequences(names: pd.Series, lost: pd.Series) -> pd.Series:
+    """Distinct strings that remain when ``lost`` characters are removed."""
+    return pd.Series([list({"".join(c) for c in itertools.combinations(n, len(n) - k)}) for n, k in zip(names, lost)])
+
+
+def _similar_short(sized: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs of short names: they share a subsequence of the length their ratio demands.
+
+    Each side is expanded to exactly the subsequences the length pair calls for, so two names meet only
+    when they are similar; frequent word parts do not bring unrelated names together.
+    """
+    limit = short_length(threshold)
+    plan = [(m, n, *_deletions(m, n, threshold)) for n in range(1, limit + 1) for m in _partners(n, threshold)]
+    short = sized.filter(F.col("len") <= limit)
+
+    def expanded(mine: int, lost: int, out: str) -> DataFrame:
+        uses = F.array(*[F.struct(F.lit(p[mine]).alias("own"), F.lit(p[0]).alias("m"), F.lit(p[1]).alias("n"), F.lit(p[lost]).alias("lost"))
+                         for p in plan])
+        rows = short.withColumn("use", F.explode(F.filter(uses, lambda u: u["own"] == F.col("len"))))
+        rows = rows.select("name", "len", "use.m", "use.n", _subsequences("name", "use.lost").alias("parts"))
+        rows = rows.select("name", "len", "m", "n", F.explode("parts").alias("part"))
+        return rows.select(F.xxhash64("m", "n", "part").alias("key"), F.col("name").alias(f"name_{out}"), F.col("len").alias(f"len_{out}"))
+
+    if not plan:
+        return sized.select(F.col("name").alias("name_a"), F.col("name").alias("name_b")).filter(F.lit(False))
+    shorter, longer = expanded(0, 2, "a"), expanded(1, 3, "b")
+    return shorter.join(longer, "key").filter(
+        (F.col("len_a") < F.col("len_b")) | ((F.col("len_a") == F.col("len_b")) & (F.col("name_a") < F.col("name_b")))).select("name_a", "name_b")
+
+
 def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) -> DataFrame:
     """All pairs of distinct names with ratio >= threshold: (name_a, name_b, match).
 
-    ``names`` holds one column ``name`` without repeats. A shorter name is cut into more segments than the
-    two names may differ by, so at least one segment survives unchanged at a near position of the longer
-    one (partition-based similarity join, Li et al., VLDB 2011). Each name leaves out its globally most
-    common segments, up to the number of spare ones, which keeps frequent word parts out of the join
-    while the result stays complete.
+    ``names`` holds one column ``name`` without repeats. Short names meet on shared subsequences, longer
+    ones on shared segments; every meeting is checked with the exact ratio.
+    """
+    # every name grows to many keys: keep full parallelism where adaptive execution sees only few bytes
+    spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sized = names.filter("name <> ''").withColumn("len", F.length("name")).repartition(spread, "name")
+    candidates = _similar_short(sized, threshold).unionByName(_similar_long(sized, threshold))
+    pairs = candidates.dropDuplicates(["name_a", "name_b"])
+    return pairs.withColumn("match", ratio("name_a", "name_b")).filter(F.col("match") >= threshold).select(
+        F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "match")
+
+
+def _similar_long(sized: DataFrame, threshold: int) -> DataFrame:
+    """Candidate pairs whose longer name exceeds ``short_length``.
+
+    A shorter name is cut into more segments than the two names may differ by, so at least one segment
+    survives unchanged at a near position of the longer one (partition-based similarity join, Li et al.,
+    VLDB 2011). Each name leaves out its globally most common segments, up to the number of spare ones,
+    which keeps frequent word parts out of the join while the result stays complete.
     """
-    sized = names.filter("name <> ''").withColumn("len", F.length("name"))
+    limit = short_length(threshold)
     k = _segments(F.col("len"), threshold)
     cut = lambda i, n, parts: F.floor(i * n / parts).cast("int")
-    index = sized.withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    reaches = _longest_partner(F.col("len"), threshold) > limit
+    index = sized.filter(reaches).withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
     start, stop = cut(F.col("i"), F.col("len"), F.col("k")), cut(F.col("i") + 1, F.col("len"), F.col("k"))
     index = index.withColumn("key", F.xxhash64("len", "i", F.substring(F.col("name"), start + 1, stop - start)))
     common = index.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
@@ -107,7 +181,7 @@ def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) ->
         return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), at_segment))
 
     shortest = F.ceil(F.col("len") * F.lit(threshold) / F.lit(200 - threshold)).cast("int")
-    probe = sized.withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(
+    probe = sized.filter(F.col("len") > limit).withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(
         F.sequence(F.greatest(shortest, F.lit(1)), F.col("len")), probes_for))))).select(
         "key", F.col("name").alias("name_b"), F.col("len").alias("len_b"), _letters(F.col("name")).alias("letters_b"))
     probe = attach(probe, frequent, ["key"]).withColumn(
@@ -122,9 +196,7 @@ def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) ->
         & (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= bound)
         # edit distance never exceeds the insert/delete distance
         & (_edit_distance_within("name_a", "name_b", bound)))
-    pairs = candidates.select("name_a", "name_b").dropDuplicates()
-    return pairs.withColumn("match", ratio("name_a", "name_b")).filter(F.col("match") >= threshold).select(
-        F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "match")
+    return candidates.select("name_a", "name_b")
 
 
 def similar_pairs(df: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) -> DataFrame:
