@@ -97,3 +97,12 @@ def non_blank(column: Column) -> Column:
 def total(condition: Column) -> Column:
     """Number of rows meeting a condition; 0 over no rows."""
     return F.count_if(F.coalesce(condition, F.lit(False)))
+
+
+def keep_where(df: DataFrame, condition: Column) -> DataFrame:
+    """Keep rows by a staged result (a validated phone or URL) without moving the test below the stages.
+
+    A plain filter would be pushed through the staged projections and repeat the whole validation.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
+    return df.select(F.inline(F.when(condition, F.array(row))))

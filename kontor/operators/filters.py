@@ -13,7 +13,7 @@ from kontor import vocab as V
 from kontor.functions import address as A
 from kontor.functions import text as T
 from kontor.functions import web as U
-from kontor.operators.common import attach, data_columns, first_column, keep_first, one_row, present, total
+from kontor.operators.common import attach, data_columns, first_column, keep_first, keep_where, one_row, present, total
 
 KEY = (V.NAME, V.CITY)
 
@@ -293,6 +293,7 @@ def duration_text(companies: Column) -> Column:
 
 def cleanup_filter(items: DataFrame, mode: str) -> DataFrame:
     """Phone clean-up rows: all, invalid, changed or status."""
-    return items.filter({"all": F.lit(True), "invalid": F.col("rating") == "ungültig",
-                         "changed": F.col("before") != F.col("after"),
-                         "status": F.col("status_before") != F.col("status_after")}[mode])
+    if mode == "all":
+        return items
+    return keep_where(items, {"invalid": F.col("rating") == "ungültig", "changed": F.col("before") != F.col("after"),
+                              "status": F.col("status_before") != F.col("status_after")}[mode])

@@ -12,7 +12,7 @@ from kontor.functions import address as A
 from kontor.functions import contacts as C
 from kontor.functions import text as T
 from kontor.functions import web as U
-from kontor.operators.common import ROW_NO, attach, first_column, nth_of_key, one_row, present, total
+from kontor.operators.common import ROW_NO, attach, first_column, keep_where, nth_of_key, one_row, present, total
 from kontor.operators.filters import is_current
 
 RESULT_COLUMNS = {"WEBSITE": "website", "TELEFON": "phone", "EMAIL": "email", "STATUS": "status",
@@ -119,7 +119,7 @@ def stale_keys(customers: DataFrame, results: DataFrame) -> DataFrame:
     matched = match_results(customers, results, values, use_street=True).filter("__hit IS NOT NULL")
     rows = U.with_clean_url(matched, F.col("WEBSITE"), "__old_site")
     rows = U.with_clean_url(rows, F.col("__hit.values.website"), "__new_site")
-    return rows.filter("__old_site <> __new_site").select(F.col("__hit.values.key").alias("company_key")).dropDuplicates()
+    return keep_where(rows, F.col("__old_site") != F.col("__new_site")).select(F.col("__hit.values.key").alias("company_key")).dropDuplicates()
 
 
 def apply_enrichment(customers: DataFrame, results: DataFrame) -> DataFrame:
