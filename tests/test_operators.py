@@ -253,3 +253,19 @@ def test_streaming_results(spark, tmp_path):
     run = streams.stream_apply_results(stream, lambda: customers, str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     run.awaitTermination()
     assert [r.WEBSITE for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["https://zwei.de/"]
+
+
+def test_changed_website_makes_analysis_stale(spark):
+    customers = spark.createDataFrame([(0, "A", "X", "https://alt.de/", "Hotel"), (1, "B", "X", "https://b.de", "Hotel")],
+                                      "row_no long, KUNDENNAME string, CITY string, WEBSITE string, INDUSTRY string")
+    results = spark.createDataFrame([(1, "a", "x", None, "", "https://neu.de/", "", "", "Aktiv", "Website", ""), (2, "B", "X", None, "", "https://b.de", "", "", "Aktiv", "Website", "")],
+        "result_no long, company string, city string, customer_id long, street string, website string, phone string, email string, status string, source string, last_check string")
+    assert [r.company_key for r in research.stale_keys(customers, results).collect()] == ["a x"]
+    assert [r.INDUSTRY for r in research.apply_results(customers, results).orderBy("row_no").collect()] == ["", "Hotel"]
+
+
+def test_cleanup_filter(spark):
+    rows = [(1, "9 50189", "ungültig", "", "Aktiv", "Aktiv"), (2, "030 123456", "gültig", "+49 30 123456", "Aktiv", "Vollständig")]
+    items = spark.createDataFrame(rows, "company_id long, before string, rating string, after string, status_before string, status_after string")
+    kept = lambda mode: [r.company_id for r in filters.cleanup_filter(items, mode).orderBy("company_id").collect()]
+    assert (kept("all"), kept("invalid"), kept("changed"), kept("status")) == ([1, 2], [1], [1, 2], [2])
