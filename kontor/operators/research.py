@@ -318,7 +318,9 @@ def first_accepted_candidate(ranked: DataFrame, use_street_matching: bool = True
     place = F.when(ok, F.col("rank"))
     picked = rows.groupBy("company_name", "city").agg(
         *[F.coalesce(F.min_by(c, place), F.lit("")).alias(o) for c, o in (("clean_url", "website"), ("phone", "phone"), ("email", "email"))],
-        F.min_by(accepted_reason, place).alias("__good"), F.max_by(reason, "rank").alias("__bad"))
+        # rank 0 is the stored site of a forced check: it carries no reason of its own
+        F.min_by(F.when(F.col("rank") == 0, "").otherwise(accepted_reason), place).alias("__good"),
+        F.max_by(reason, F.when(F.col("rank") > 0, F.col("rank"))).alias("__bad"))
     return picked.withColumn("match_reason", F.coalesce("__good", "__bad")).drop("__good", "__bad")
 
 
