@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from kontor.llm.binary_packing import packed_matrices
 from kontor.llm.common import fresh_path
+from kontor.llm.exact_dedup import exact_groups
+from kontor.llm.mixing import mixing_plan
 from kontor.llm.mixture_packing import mixture_packed
 from kontor.llm.token_counts import token_counts
 
@@ -28,10 +31,56 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), fresh_path(spark, "token-cache"), public_tokenizers.path(WORD_BPE))
 
 
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    plan = mixing_plan(documents(spark, sf_dir))
+    first = F.try_element_at("copies", F.lit(1))["position"]
+    return plan.select("doc_id", "size", "source_size", F.round("target", 3).alias("target"), "taken", F.round(first, 6).alias("position"))
+
+
 def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packed(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_binary_packing, op2_token_counts, op5_mixture_packing)}
-SQL: dict[str, str] = {}
+def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_groups(documents(spark, sf_dir))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
+    op1_binary_packing, op2_token_counts, op4_mixing, op5_mixture_packing, op10_exact_dedup)}
+
+_SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
+
+SQL: dict[str, str] = {
+    "op4_mixing": f"""
+        WITH sized AS (
+          SELECT doc_id, source, {_SIZE} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place, md5(coalesce(text, '')) AS digest
+          FROM documents),
+        totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
+                   FROM sized GROUP BY source),
+        weighed AS (SELECT *, 1.0::DOUBLE + number % 3 AS weight, 3.0::DOUBLE * source_size AS cap,
+                           [1.0, 1.5, 0.5][number % 3 + 1]::DOUBLE AS w0, [1.0, 0.5, 1.5][number % 3 + 1]::DOUBLE AS w1 FROM totals),
+        levels AS (SELECT a.*, (SELECT sum(source_size) FROM weighed) AS everything,
+                     (SELECT coalesce(sum(b.cap), 0) FROM weighed b WHERE b.cap / b.weight < a.cap / a.weight
+                        OR (b.cap / b.weight = a.cap / a.weight AND b.number < a.number)) AS fixed,
+                     (SELECT sum(b.weight) FROM weighed b WHERE b.cap / b.weight > a.cap / a.weight
+                        OR (b.cap / b.weight = a.cap / a.weight AND b.number >= a.number)) AS open FROM weighed a),
+        levelled AS (SELECT *, (everything - fixed) / open AS level FROM levels),
+        free AS (SELECT arg_min(level, cap / weight) AS free FROM levelled WHERE cap >= level * weight),
+        targets AS (SELECT source, source_size, coalesce(least(cap, free * weight), cap) AS target, w0, w1 FROM levelled, free),
+        queued AS (SELECT s.*, t.source_size, t.target, t.w0, t.w1,
+                     coalesce(sum(size) OVER (PARTITION BY s.source ORDER BY place, digest ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before
+                   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
+        taken AS (SELECT *, greatest(least(size, CAST(round(target) AS BIGINT) - before), 0) AS a,
+                    greatest(least(size, CAST(round(target) AS BIGINT) - before - source_size), 0) AS b,
+                    greatest(least(size, CAST(round(target) AS BIGINT) - before - 2 * source_size), 0) AS c,
+                    before / greatest(target, 1.0) AS share, (w1 - w0) / (w0 + w1) AS p, 2.0 * w0 / (w0 + w1) AS q FROM queued)
+        SELECT doc_id, size, source_size, round(target, 3) AS target, CAST(a + b + c AS BIGINT) AS taken,
+               CASE WHEN a > 0 THEN round(least(2.0 * share / (q + sqrt(greatest(q * q + 4.0 * p * share, 0.0))), 1.0), 6) END AS position
+        FROM taken""",
+    "op10_exact_dedup": r"""
+        WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n,
+                             sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
+        SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+               doc_id = first_value(doc_id) OVER w AS kept, text_sha256
+        FROM rows WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)""",
+}
