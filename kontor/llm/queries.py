@@ -13,6 +13,7 @@ from kontor.llm.common import fresh_path
 from kontor.llm.exact_dedup import exact_groups
 from kontor.llm.mixing import mixing_plan
 from kontor.llm.mixture_packing import mixture_packed
+from kontor.llm.quality_rules import COUNTS, quality_verdicts
 from kontor.llm.token_counts import token_counts
 
 WORD_BPE = "word_bpe_49k.json"
@@ -31,6 +32,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(documents(spark, sf_dir), fresh_path(spark, "token-cache"), public_tokenizers.path(WORD_BPE))
 
 
+def op3_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    verdicts = quality_verdicts(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return verdicts.select("doc_id", *COUNTS, "base_failed", "kept")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing_plan(documents(spark, sf_dir))
     first = F.try_element_at("copies", F.lit(1))["position"]
@@ -46,7 +52,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_binary_packing, op2_token_counts, op4_mixing, op5_mixture_packing, op10_exact_dedup)}
+    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op10_exact_dedup)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
