@@ -11,8 +11,10 @@ from pyspark.sql import functions as F
 from kontor.llm.binary_packing import packed_matrices
 from kontor.llm.common import fresh_path
 from kontor.llm.exact_dedup import exact_groups
+from kontor.llm.language_id import held_out, predicted, trained
 from kontor.llm.mixing import mixing_plan
 from kontor.llm.mixture_packing import mixture_packed
+from kontor.llm.pii import found_spans
 from kontor.llm.quality_rules import COUNTS, quality_verdicts
 from kontor.llm.token_counts import token_counts
 
@@ -47,12 +49,22 @@ def op5_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixture_packed(documents(spark, sf_dir), public_tokenizers.path(WORD_BPE))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir)
+    model = trained(docs.filter(~held_out()))
+    return predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return found_spans(documents(spark, sf_dir))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op10_exact_dedup)}
+    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op8_pii, op10_exact_dedup)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 
