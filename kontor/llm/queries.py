@@ -12,6 +12,7 @@ from kontor.llm.binary_packing import packed_matrices
 from kontor.llm.common import fresh_path
 from kontor.llm.exact_dedup import exact_groups
 from kontor.llm.language_id import held_out, predicted, trained
+from kontor.llm.license_scan import LEAST_DICE, TEMPLATES, scanned
 from kontor.llm.mixing import mixing_plan
 from kontor.llm.mixture_packing import mixture_packed
 from kontor.llm.pii import found_spans
@@ -59,14 +60,22 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_spans(documents(spark, sf_dir))
 
 
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scanned(documents(spark, sf_dir))
+    return found.withColumn("dice", F.round("dice", 6))
+
+
 def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op8_pii, op10_exact_dedup)}
+    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op8_pii, op9_license_scan, op10_exact_dedup)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
+_BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
+_TEMPLATE_ROWS = ", ".join("('{}', '{}')".format(name, wording.replace("'", "''")) for name, wording in TEMPLATES)
+_WORDS_OF = "string_split(trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g')), ' ')"
 
 SQL: dict[str, str] = {
     "op4_mixing": f"""
@@ -95,6 +104,22 @@ SQL: dict[str, str] = {
         SELECT doc_id, size, source_size, round(target, 3) AS target, CAST(a + b + c AS BIGINT) AS taken,
                CASE WHEN a > 0 THEN round(least(2.0 * share / (q + sqrt(greatest(q * q + 4.0 * p * share, 0.0))), 1.0), 6) END AS position
         FROM taken""",
+    "op9_license_scan": f"""
+        WITH wordings(name, wording) AS (VALUES {_TEMPLATE_ROWS}),
+        template_words AS (SELECT name, {_WORDS_OF.format("lower(wording)")} AS w FROM wordings),
+        templates AS (SELECT name, {_BIGRAMS.format("w")} AS t FROM template_words),
+        low AS (SELECT doc_id, lower(coalesce(text, '')) AS l FROM documents),
+        part AS (SELECT DISTINCT doc_id, {_WORDS_OF.format("p")} AS w FROM (SELECT doc_id, unnest(list_concat(
+                   string_split(l, chr(10)), string_split_regex(l, '\\n[ \\t\\r]*\\n'), [l])) AS p FROM low)),
+        own AS (SELECT doc_id, w, {_BIGRAMS.format("w")} AS b FROM part WHERE len(w) > 1),
+        dice AS (SELECT doc_id, w, name, 2.0::DOUBLE * len(list_intersect(b, t)) / (len(b) + len(t)) AS dice FROM own, templates
+                 WHERE len(t) * {LEAST_DICE} <= len(b) * {2 - LEAST_DICE} AND len(b) * {LEAST_DICE} <= len(t) * {2 - LEAST_DICE}),
+        best AS (SELECT doc_id, name AS license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, name) AS r,
+                   count(w) OVER (PARTITION BY doc_id) AS parts FROM
+                 (SELECT doc_id, w, name, dice FROM dice WHERE dice >= {LEAST_DICE}
+                  QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY dice DESC, name) = 1))
+        SELECT d.doc_id, license, round(dice, 6) AS dice, coalesce(parts, 0) AS n_matches
+        FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND r = 1""",
     "op10_exact_dedup": r"""
         WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                              sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
