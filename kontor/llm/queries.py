@@ -15,6 +15,7 @@ from kontor.llm.language_id import held_out, predicted, trained
 from kontor.llm.license_scan import LEAST_DICE, TEMPLATES, scanned
 from kontor.llm.mixing import mixing_plan
 from kontor.llm.mixture_packing import mixture_packed
+from kontor.llm.near_dedup import near_duplicates
 from kontor.llm.pii import found_spans
 from kontor.llm.quality_rules import COUNTS, quality_verdicts
 from kontor.llm.token_counts import token_counts
@@ -56,6 +57,11 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return predicted(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The contract of this query asks for three words and a similarity of 0.85."""
+    return near_duplicates(documents(spark, sf_dir), width=3, percent=85)
+
+
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found_spans(documents(spark, sf_dir))
 
@@ -70,7 +76,7 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op8_pii, op9_license_scan, op10_exact_dedup)}
+    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op7_near_dedup, op8_pii, op9_license_scan, op10_exact_dedup)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 _BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
