@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.common import column, slices
-from kontor.llm.tokens import encoder
+from kontor.llm.tokens import TOKEN_STEP, encoder
 
 BLOCK_TOKENS = 4 << 20
 SCHEMA = ("sequence_id long, n_tokens int, ids binary, cu_seqlens array<int>, position_resets array<int>, "
@@ -124,7 +124,7 @@ def packed_matrices(docs: DataFrame, tokenizer: str, window: int = 4096, end_id:
                     ["sequence_id", "n_tokens", "ids", "cu_seqlens", "position_resets", "doc_ids", "starts"])
                 made += len(some)
 
-        for batch in slices(batches):
+        for batch in slices(batches, step=TOKEN_STEP):
             flat, offsets = coder.ids(column(batch, "text"))
             names = batch.column("doc_id").cast(pa.int64())
             owner = np.stack([np.asarray(names.fill_null(0)), np.asarray(names.is_null()).astype(np.int64)], 1)

@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontor.llm.common import column, ragged, slices, stored
-from kontor.llm.tokens import encoder
+from kontor.llm.tokens import TOKEN_STEP, encoder
 
 PIECES = ("doc_id long, source string, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, "
           "offset long")
@@ -40,7 +40,7 @@ def tokenized(docs: DataFrame, tokenizer: str, end_id: int = 2, text: str = "tex
 
         coder, seen = encoder(tokenizer), {}
         part = TaskContext.get().partitionId()
-        for batch in slices(batches):
+        for batch in slices(batches, step=TOKEN_STEP):
             flat, offsets = coder.ids(column(batch, "text"))
             ids = np.insert(flat, offsets[1:], end_id).astype("<u4")
             ends = (offsets + np.arange(len(offsets)))[1:]

@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kontor.llm.common import SPACE, attach, column, slices, text_of
-from kontor.llm.tokens import encoder, tokenizer_version
+from kontor.llm.tokens import TOKEN_STEP, encoder, tokenizer_version
 
 CACHE_SCHEMA = "content binary, n_tokens long, tokenizer string"
 
@@ -45,7 +45,7 @@ def token_counts(docs: DataFrame, cache: str, tokenizer: str, over: int = 2048,
     misses = distinct.join(read_cache(spark, cache, version).select("content"), "content", "left_anti")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, step=TOKEN_STEP):
             counts = encoder(tokenizer).counts(column(batch, "text"))
             yield pa.RecordBatch.from_arrays([batch.column("content").cast(pa.binary()), pa.array(counts)], ["content", "n_tokens"])
 
