@@ -161,11 +161,12 @@ def deduplicated(docs: DataFrame, text: str = "text", key: str = "doc_id") -> Da
     """The rows of ``docs`` that stay, all columns as they were."""
     own = stored(text_digests(docs, text, key), "digests")
     index, shards = history_index(own)
-    stay = stored(looked_up(own, index, shards).select("digest", "keep_id", "keep_length"), "stay")
+    stay = stored(looked_up(own, index, shards).select(
+        F.col("digest").alias("__stay_digest"), F.col("keep_id").alias("__stay_id"), F.col("keep_length").alias("__stay_length")), "stay")
     names = docs.columns
     tagged = docs.withColumns({"__digest": text_digest(text_of(text)), "__length": F.length(text_of(text)).cast("long")})
     # every key names one winner, so no key is hot unless the very same row is repeated
-    left = tagged.join(stay, F.col(key).cast("long").eqNullSafe(F.col("keep_id")) & (F.col("__digest") == F.col("digest"))
-                       & (F.col("__length") == F.col("keep_length")), "left_semi")
+    left = tagged.join(stay, F.col(key).cast("long").eqNullSafe(F.col("__stay_id")) & (F.col("__digest") == F.col("__stay_digest"))
+                       & (F.col("__length") == F.col("__stay_length")), "left_semi")
     one = W.partitionBy(F.col(key).cast("long"), "__digest", "__length").orderBy("__length")
     return left.withColumn("__n", F.row_number().over(one)).filter("__n = 1").select(*[F.col(f"`{c}`") for c in names])

@@ -62,7 +62,7 @@ def training_time(share: Column, w0: Column, w1: Column) -> Column:
     a = (w1 - w0) / (w0 + w1)
     b = F.lit(2.0) * w0 / (w0 + w1)
     root = F.sqrt(F.greatest(b * b + F.lit(4.0) * a * share, F.lit(0.0)))
-    return F.least(F.lit(2.0) * share / (b + root), F.lit(1.0))
+    return F.least(F.coalesce(F.try_divide(F.lit(2.0) * share, b + root), F.lit(0.0)), F.lit(1.0))
 
 
 def _queued(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
