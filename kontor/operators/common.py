@@ -70,17 +70,28 @@ def nth_of_key(df: DataFrame, keys: Sequence[str], order: str = ROW_NO, out: str
 def with_row_no(df: DataFrame, start: int = 0) -> DataFrame:
     """Number the rows of a source in its reading order, once, at ingest.
 
-    Only the row counts per partition are gathered, never the rows.
+    Only the row counts per partition are gathered, never the rows. The frame is read twice, so its partitions
+    must be fixed: a file scan or a checkpoint. Behind a shuffle the two runs may be planned differently; a row
+    whose partition was not counted raises an error instead of getting lost.
     """
     local = F.monotonically_increasing_id()
     tagged = df.withColumn("__part", F.shiftright(local, 33).cast("int")).withColumn(
         "__pos", local.bitwiseAND(F.lit((1 << 33) - 1)))
     counts = tagged.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
     before = W.orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
-    offsets = counts.withColumn("__offset", F.coalesce(F.sum("__n").over(before), F.lit(0))).drop("__n")
+    offsets = counts.select("__part", "__n", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     # one row per input partition: bounded by the number of tasks, not by the data
-    return tagged.join(F.broadcast(offsets), "__part").withColumn(
-        ROW_NO, F.col("__pos") + F.col("__offset") + F.lit(start)).drop("__part", "__pos", "__offset")
+    joined = tagged.join(F.broadcast(offsets), "__part", "left")
+    sound = F.coalesce(F.col("__pos") < F.col("__n"), F.lit(False))
+    number = F.when(sound, F.col("__pos") + F.col("__offset") + F.lit(start)).otherwise(
+        F.raise_error(F.lit("Row numbering needs a frame with fixed partitions.")).cast("bigint"))
+    return joined.withColumn(ROW_NO, number).drop("__part", "__pos", "__n", "__offset")
+
+
+def one_per_key(df: DataFrame, keys: Sequence[str | Column], first_by: str = "id") -> DataFrame:
+    """The row with the smallest ``first_by`` of each key: the side of a lookup must be unique."""
+    window = W.partitionBy(*[F.col(k) if isinstance(k, str) else k for k in keys]).orderBy(first_by)
+    return df.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1").drop("__rank")
 
 
 def one_row(*frames: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from kontor import vocab as V
 from kontor.functions import text as T
-from kontor.operators.common import attach, one_row, present, total
+from kontor.operators.common import attach, one_per_key, one_row, present, total
 
 
 def _exact_key(df: DataFrame) -> list[Column]:
@@ -17,7 +17,7 @@ def _exact_key(df: DataFrame) -> list[Column]:
 
 def with_crm(customers: DataFrame, companies: DataFrame) -> DataFrame:
     """Ten CRM columns by exact trimmed name and city; defaults where no company matches."""
-    stored = companies.select(
+    stored = one_per_key(companies, ["company_name", F.coalesce("city", F.lit(""))]).select(
         F.col("company_name").alias("__n"), F.coalesce("city", F.lit("")).alias("__c"), F.lit(True).alias("__hit"),
         *[F.col(f).alias(f"__{f}") for f in V.CRM_DEFAULTS])
     name, city = _exact_key(customers)
@@ -33,7 +33,8 @@ def apply_crm(customers: DataFrame, crm: DataFrame, *, complete_follow_up: bool
 
     Completing a follow-up also blanks the next date.
     """
-    new = crm.select(
+    unique = one_per_key(crm, [T.as_text(F.col("company_name")), T.as_text(F.col("city"))], "id" if "id" in crm.columns else "company_name")
+    new = unique.select(
         T.as_text(F.col("company_name")).alias("__n"), T.as_text(F.col("city")).alias("__c"), F.lit(True).alias("__hit"),
         *[F.col(f).alias(f"__{f}") for f in V.CRM_DEFAULTS])
     joined = customers.join(
@@ -72,7 +73,7 @@ def with_activity_count(companies: DataFrame, activities: DataFrame) -> DataFram
 
 def link_orphans(activities: DataFrame, companies: DataFrame) -> DataFrame:
     """Fill a missing company id by exact name and city."""
-    known = companies.select(F.col("company_name").alias("__n"), F.coalesce("city", F.lit("")).alias("__c"), F.col("id").alias("__id"))
+    known = companies.groupBy(F.col("company_name").alias("__n"), F.coalesce("city", F.lit("")).alias("__c")).agg(F.min("id").alias("__id"))
     joined = activities.join(
         known, F.col("company_id").isNull() & (F.col("company_name") == F.col("__n"))
         & (F.coalesce("city", F.lit("")) == F.col("__c")), "left")
@@ -127,7 +128,6 @@ def add_activities(activities: DataFrame, companies: DataFrame, batch: DataFrame
 
     A blank type becomes 'Sonstiges', an unknown one is an error. New ids continue after the largest one.
     """
-    from kontor.operators.common import with_row_no
     from kontor.sources.tables import next_ids
 
     kind = T.strip(T.as_text(F.col("activity_type")))
@@ -147,7 +147,7 @@ def add_activities(activities: DataFrame, companies: DataFrame, batch: DataFrame
     fresh = next_ids(fresh, companies, ["company_name", "city"]).withColumns(
         {"created_at": F.lit(now), "updated_at": F.lit(now), "customer_stage": F.lit("Interessent"), "priority": F.lit("Normal")})
     everyone = companies.unionByName(fresh.select(*[c for c in fresh.columns if c in companies.columns]), allowMissingColumns=True)
-    ids = everyone.select("company_name", F.coalesce("city", F.lit("")).alias("city"), F.col("id").alias("company_id"))
+    ids = everyone.groupBy("company_name", F.coalesce("city", F.lit("")).alias("city")).agg(F.min("id").alias("company_id"))
     linked = clean.drop("company_id").join(ids, ["company_name", "city"]).withColumn(
         "company_key", T.company_key(F.col("company_name"), F.col("city")))
     order = [c for c in ("batch_no", "occurred_at", "company_name", "city", "subject") if c in linked.columns]

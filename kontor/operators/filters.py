@@ -13,7 +13,7 @@ from kontor import vocab as V
 from kontor.functions import address as A
 from kontor.functions import text as T
 from kontor.functions import web as U
-from kontor.operators.common import attach, data_columns, first_column, keep_first, keep_where, one_row, present, total
+from kontor.operators.common import attach, data_columns, first_column, keep_first, keep_where, one_per_key, one_row, present, total
 
 KEY = (V.NAME, V.CITY)
 
@@ -227,8 +227,9 @@ def research_worklist(df: DataFrame, options: Mapping[str, object], cache: DataF
     """Rows meeting any chosen criterion, first per (name, city); no criterion keeps all."""
     criteria: list[Column] = []
     if options.get("only_new") or options.get("older_than"):
-        known = cache.select(T.as_text(F.col("company_name")).alias("__n"), T.as_text(F.col("city")).alias("__c"),
-                             F.col("last_check").alias("__checked"), F.lit(True).alias("__known"))
+        unique = one_per_key(cache, [T.as_text(F.col("company_name")), T.as_text(F.col("city"))], "id" if "id" in cache.columns else "last_check")
+        known = unique.select(T.as_text(F.col("company_name")).alias("__n"), T.as_text(F.col("city")).alias("__c"),
+                              F.col("last_check").alias("__checked"), F.lit(True).alias("__known"))
         names = [T.as_text(present(df, k)) for k in KEY]
         df = df.join(known, (names[0] == F.col("__n")) & (names[1] == F.col("__c")), "left").drop("__n", "__c")
     if options.get("only_new"):

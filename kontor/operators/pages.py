@@ -73,7 +73,8 @@ def internal_links(parsed: DataFrame) -> DataFrame:
 def frontier(parsed: DataFrame, max_pages: int = V.ANALYSIS_MAX_PAGES) -> DataFrame:
     """Pages to analyse per start page: itself and its best internal links.
 
-    Links rank by page kind, then by position; per start page at most ``max_pages`` rows leave a task.
+    Links without a stored page use up no place. The others rank by page kind, then by position; per start page at
+    most ``max_pages`` rows leave a task.
     """
     links = internal_links(parsed)
     links = links.withColumn("words", F.concat_ws(" ", T.casefold(F.col("text")), T.casefold(F.col("link"))))
@@ -82,6 +83,7 @@ def frontier(parsed: DataFrame, max_pages: int = V.ANALYSIS_MAX_PAGES) -> DataFr
     wanted = (F.col("priority") >= 0) & (F.col("link") != F.col("url"))
     best = ranked.groupBy("site", "pos", "url", "link").agg(
         F.min(F.when(wanted, F.struct("priority", "link_pos"))).alias("place")).filter("place IS NOT NULL")
+    best = best.join(parsed.select(F.col("url").alias("link")).distinct(), "link", "left_semi")
     window = W.partitionBy("site", "pos", "url").orderBy("place")
     chosen = best.withColumn("rank", F.row_number().over(window)).filter(F.col("rank") <= max_pages - 1)
     home = parsed.select("site", "pos", "url", F.col("url").alias("page_url"), F.lit(0).alias("rank"))

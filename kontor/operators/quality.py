@@ -286,7 +286,7 @@ def with_overrides(groups: DataFrame, rows: DataFrame, overrides: DataFrame | No
         return groups
     chosen = overrides.select("group_id", F.col("master_row").alias("wanted"))
     names = rows.select(F.col(ROW_NO).alias("wanted"), F.col("n_name").alias("wanted_name"))
-    joined = groups.join(F.broadcast(chosen), "group_id", "left").join(names, "wanted", "left")
+    joined = groups.join(chosen, "group_id", "left").join(names, "wanted", "left")
     checked = F.when(F.col("wanted").isNull(), F.col("master_row")).when(
         F.col("wanted_name") == F.col("n_name"), F.col("wanted")).otherwise(
         F.raise_error(F.lit("Die gewählte Hauptzeile gehört nicht zur Dublettengruppe.")).cast("bigint"))

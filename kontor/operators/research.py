@@ -12,7 +12,7 @@ from kontor.functions import address as A
 from kontor.functions import contacts as C
 from kontor.functions import text as T
 from kontor.functions import web as U
-from kontor.operators.common import ROW_NO, attach, first_column, keep_where, nth_of_key, one_row, present, total
+from kontor.operators.common import ROW_NO, attach, first_column, keep_where, nth_of_key, one_per_key, one_row, present, total
 from kontor.operators.filters import is_current
 
 RESULT_COLUMNS = {"WEBSITE": "website", "TELEFON": "phone", "EMAIL": "email", "STATUS": "status",
@@ -330,7 +330,7 @@ def cached_result(requests: DataFrame, companies: DataFrame, *, force_refresh: b
 
     Adds ``hit``, the re-validated contacts and ``changed`` where stored values need correction.
     """
-    stored = companies.select(
+    stored = one_per_key(companies, ["company_name", F.coalesce("city", F.lit(""))]).select(
         F.col("company_name").alias("__n"), F.coalesce("city", F.lit("")).alias("__c"), F.col("id").alias("stored_id"),
         *[F.coalesce(c, F.lit("")).alias(f"stored_{c}") for c in (
             "website", "phone", "email", "owner", "status", "source", "last_check", "street")])

@@ -130,18 +130,19 @@ SELECT result_no, company, city, website, phone, email, status, success, error_m
   CASE WHEN result_no % 7 = 0 THEN '' ELSE status END AS old_status
 FROM v_results"""
 V_ENRICHMENTS = """
-SELECT lower(trim(company_name) || ' ' || trim(city)) AS company_key, coalesce(website, '') AS website, id AS company_id, cast(id % 101 as int) AS website_score,
+SELECT lower(trim(company_name) || ' ' || trim(city)) || CASE WHEN id % 6 < 3 THEN ' ' || cast(id as string) ELSE '' END AS company_key,
+  coalesce(website, '') AS website, id AS company_id, cast(id % 101 as int) AS website_score,
   CASE WHEN id % 5 = 0 THEN '' WHEN id % 5 = 1 THEN 'Hotel' ELSE 'Bäckerei' END AS industry, id % 2 = 0 AS has_imprint, id % 3 = 0 AS has_privacy_policy,
   id % 4 = 0 AS has_opening_hours, id % 5 = 0 AS has_social_media,
   CASE id % 4 WHEN 0 THEN '2024-01-10T08:00:00' WHEN 1 THEN '2023-11-01T00:00:00' WHEN 2 THEN '' ELSE '2024-01-19T23:00:00' END AS analyzed_at,
   CASE WHEN id % 6 = 0 THEN '1.0' ELSE '1.1' END AS analysis_version, CASE WHEN id % 7 = 0 THEN 'Fehler' ELSE 'Erfolgreich' END AS enrichment_status,
   '{"company": "' || company_name || '", "website_score": ' || cast(id % 101 as string) || ', "has_imprint": ' || CASE WHEN id % 2 = 0 THEN 'true' ELSE 'false' END
     || ', "social_media": {"facebook": "' || CASE WHEN id % 5 = 0 THEN 'https://facebook.com/k' ELSE '' END || '"}, "industry": {"industry": "Hotel", "confidence": 0.5}, "enrichment_status": "Erfolgreich"}' AS result_json
-FROM v_companies WHERE id % 6 > 2"""
+FROM v_companies"""
 V_CANDIDATES = """
 SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Example ' || s_name WHEN 1 THEN 'net Handel ' || s_name ELSE 'the org ' || s_name END AS company_name, 'Ort ' || cast(s_nationkey as string) AS city,
-  page_id AS pos, url, substr(html, 1, 400) AS title
-FROM supplier JOIN pages ON s_suppkey % 250 = page_id % 250"""
+  page_id AS pos, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
+FROM supplier JOIN pages ON s_suppkey = cast((page_id - page_id % 3) / 3 AS bigint)"""
 
 VIEWS = {  # in dependency order
     "v_customers": V_CUSTOMERS, "v_import": V_IMPORT, "v_companies": V_COMPANIES, "v_activities": V_ACTIVITIES,

@@ -19,6 +19,7 @@ from kontor import vocab as V
 from kontor.functions import address as A
 from kontor.functions import text as T
 from kontor.operators.common import ROW_NO, first_column, one_row, with_row_no
+from kontor.session import checkpointed
 
 CHANGE_SCHEMA = (
     "company STRING, city STRING, old_website STRING, new_website STRING, old_phone STRING, new_phone STRING, "
@@ -132,16 +133,20 @@ def ensure_columns(df: DataFrame, defaults: Mapping[str, object], now: str | Non
 
 # ---------------------------------------------------------------- table updates
 def next_ids(df: DataFrame, existing: DataFrame, order: Sequence[str]) -> DataFrame:
-    """Number new rows after the largest existing id, in a distributed sort order."""
-    numbered = with_row_no(df.orderBy(*order), start=1)
+    """Number new rows after the largest existing id, in a distributed sort order.
+
+    The sorted rows are written once before they are numbered: planned twice, a sort may cut its ranges differently.
+    """
+    numbered = with_row_no(checkpointed(df.orderBy(*order)), start=1)
     highest = existing.agg(F.coalesce(F.max("id"), F.lit(0)).alias("__top"))
     return numbered.join(F.broadcast(highest), F.lit(True)).withColumn(
         "id", F.col("__top") + F.col(ROW_NO)).drop("__top", ROW_NO)
 
 
-def latest_per_key(changes: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
+def latest_per_key(changes: DataFrame, keys: Sequence[str], *order: str) -> DataFrame:
     """Latest change per key; one row per key leaves each map task."""
-    window = W.partitionBy(*keys).orderBy(F.desc(order))
+    window = W.partitionBy(*[F.coalesce(F.col(k), F.lit("")) if dict(changes.dtypes)[k] == "string" else F.col(k) for k in keys]).orderBy(
+        *[F.desc(c) for c in order])
     return changes.withColumn("__rank", F.row_number().over(window)).filter("__rank = 1").drop("__rank")
 
 
@@ -149,9 +154,10 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], overwrit
            order: str | None = None) -> DataFrame:
     """Insert or overwrite by key; id, created_at and unlisted columns survive (SK7).
 
-    Listed columns are overwritten even with blanks. With ``order`` the latest change per key wins.
+    Listed columns are overwritten even with blanks. The latest change per key wins by ``order``; without one, and
+    among equals, the greatest values win, so that a key never has two changes.
     """
-    latest = latest_per_key(changes, keys, order) if order else changes
+    latest = latest_per_key(changes, keys, *([order] if order else []), *overwrite)
     new = latest.select(*[F.coalesce(F.col(k), F.lit("")).alias(f"__k_{k}") for k in keys],
                         *[F.col(c).alias(f"__{c}") for c in overwrite], F.lit(True).alias("__new"))
     matches = functools.reduce(operator.and_, [F.coalesce(F.col(k), F.lit("")) == F.col(f"__k_{k}") for k in keys])

@@ -269,3 +269,36 @@ def test_cleanup_filter(spark):
     items = spark.createDataFrame(rows, "company_id long, before string, rating string, after string, status_before string, status_after string")
     kept = lambda mode: [r.company_id for r in filters.cleanup_filter(items, mode).orderBy("company_id").collect()]
     assert (kept("all"), kept("invalid"), kept("changed"), kept("status")) == ([1, 2], [1], [1, 2], [2])
+
+
+@pytest.mark.parametrize("adaptive", ["true", "false"])
+def test_new_ids_lose_no_row(spark, adaptive):
+    from kontor.sources.tables import next_ids
+
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    try:
+        n = 1_000_000
+        wide = spark.range(n).select(F.md5(F.col("id").cast("string")).alias("name"), F.repeat(F.sha2(F.col("id").cast("string"), 256), 3).alias("note"))
+        old = spark.createDataFrame([(41,)], "id long")
+        got = next_ids(wide.repartition(7), old, ["name"]).agg(
+            F.count(F.lit(1)).alias("n"), F.countDistinct("id").alias("ids"), F.min("id").alias("low"), F.max("id").alias("high")).first()
+        assert tuple(got) == (n, n, 42, 41 + n)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
+def test_lookup_sides_are_unique(spark):
+    from kontor.operators import crm
+    from kontor.sources.tables import upsert
+
+    columns = "id long, company_name string, city string, " + ", ".join(f"{c} string" for c in V.CRM_DEFAULTS)
+    blank = [""] * len(V.CRM_DEFAULTS)
+    stored = spark.createDataFrame([(1, "A", None, *blank), (2, "A", "", *blank)], columns)
+    customers = spark.createDataFrame([("A", "")], "KUNDENNAME string, CITY string")
+    assert crm.with_crm(customers, stored).count() == 1
+    orphan = spark.createDataFrame([(5, None, "A", "")], "id long, company_id long, company_name string, city string")
+    assert [r.company_id for r in crm.link_orphans(orphan, stored).collect()] == [1]
+    changes = spark.createDataFrame([("A", "", "x"), ("A", None, "y"), ("B", "", "z"), ("B", "", "w")], "company_name string, city string, notes string")
+    result = upsert(stored.limit(1).select("id", "company_name", "city", "notes"), changes, ["company_name", "city"], ["notes"], "2024-01-01")
+    assert sorted((r.company_name, r.notes) for r in result.collect()) == [("A", "y"), ("B", "z")]
