@@ -8,6 +8,8 @@ Scripts outside these ranges are left as they are (documented deviation).
 
 from __future__ import annotations
 
+import re
+
 import functools
 import unicodedata
 
@@ -172,3 +174,8 @@ def display_value(column: Column, empty: str = "") -> Column:
 def or_null(column: Column) -> Column:
     """NULL for '' (``nullif`` would add a common-expression projection per use)."""
     return F.when(column != "", column)
+
+
+def any_word(words) -> str:
+    """A pattern for any of the literal words, longer ones first."""
+    return "(?:" + "|".join(re.escape(w) for w in sorted(words, key=len, reverse=True)) + ")"

@@ -188,3 +188,28 @@ NUMBER_PLAN = (
     ("1", r"^1 ([2-9]\d{2})([2-9]\d{2})(\d{4})$", "+1 $1-$2-$3", "fixed"),
 )
 TRUNK_REGIONS = {"DE": "49", "AT": "43", "CH": "41"}
+
+# Words of a legal notice, of written opening hours and of descriptions.
+ROLE_WORDS = {
+    "owner_names": ("inhaber", "inhaberin", "geschäftsinhaber", "geschäftsinhaberin", "owner", "proprietor"),
+    "managing_director_names": ("geschäftsführer", "geschäftsführerin", "geschäftsführung", "managing director", "ceo"),
+    "representative_names": ("vertreten durch", "vertretungsberechtigt", "vertretungsberechtigte person", "vorstand", "vorstände",
+                             "verantwortlich gemäß", "verantwortlich für inhalt", "verantwortlich für den inhalt"),
+}
+UNRELATED_WORDS = ("datenschutzbeauftrag", "webdesign", "webagentur", "hosting", "hoster", "support", "technischer kontakt",
+                   "technischen kontakt", "fax")
+FIRM_WORDS = ("firma", "unternehmen", "anbieter", "diensteanbieter", "betreiber")
+ADDRESS_WORDS = ("anschrift", "adresse", "sitz", "anbieter", "firma", "unternehmen")
+FORM_WORDS = ("firma", "unternehmen", "rechtsform", "anbieter")
+TECHNICAL_MAILBOXES = ("datenschutz", "privacy", "support", "webmaster", "hosting")
+PHONE_WORDS = ("telefon", "phone", "tel.", "tel")
+STREET_WORDS = ("straße", "str.", "weg", "allee", "platz", "gasse", "ring", "ufer")
+REGISTER_KINDS = ("HRB", "HRA", "VR", "PR", "GnR")
+TAX_WORDS = ("ust", "umsatzsteuer", "vat")
+NAME_TITLES = ("Prof.", "Dr.", "Dipl.-")
+NAME_JOINS = ("und", "sowie", "&")
+RANGE_WORDS = ("-", "–", "bis", "to")
+LIST_WORDS = (",", "und", "&")
+CLOSED_WORD, APPOINTMENT_WORDS = "geschlossen", "nach vereinbarung"
+BARRED_PHRASES = ("cookie", "datenschutz", "jetzt kaufen", "weltweit führend", "der beste")
+PRAISE_WORDS = ("führend", "führende", "führender", "führendes", "führenden", "beste", "bester", "bestes", "besten")
