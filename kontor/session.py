@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -31,12 +32,9 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared checkpoint folder, so a lost executor loses no round.
-
-    The folder comes from ``spark.checkpoint.dir``; only a local session without one gets a scratch folder.
-    """
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``; only a local session without one gets a scratch folder."""
+    context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
         folder = context.getConf().get("spark.checkpoint.dir")
         if folder is None:
@@ -44,4 +42,18 @@ def checkpointed(df: DataFrame) -> DataFrame:
                 raise ValueError("Set spark.checkpoint.dir to a folder all executors can reach.")
             folder = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
         context.setCheckpointDir(folder)
+    return context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().get()
+
+
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A path in the shared folder that nothing else uses."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cut lineage through the shared checkpoint folder, so a lost executor loses no round.
+
+    The folder comes from ``spark.checkpoint.dir``; only a local session without one gets a scratch folder.
+    """
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

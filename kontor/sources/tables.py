@@ -226,7 +226,9 @@ def target_path(path: str, fmt: str) -> str:
 def _write(df: DataFrame, path: str, fmt: str) -> None:
     writer = df.write.mode("errorifexists")
     if fmt == "csv":
-        writer.option("header", True).option("escape", '"').option("emptyValue", "").csv(path)
+        # cells keep their white space
+        writer.option("header", True).option("escape", '"').option("emptyValue", "").option(
+            "ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path)
     else:
         writer.format(fmt).save(path)
 

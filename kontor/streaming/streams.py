@@ -44,13 +44,17 @@ def stream_dashboard(counts: DataFrame, sink: Callable[[DataFrame, int], None],
     return counts.writeStream.outputMode("complete").trigger(processingTime=every).foreachBatch(sink)
 
 
-def stream_apply_results(results: DataFrame, read_snapshot: Callable[[], DataFrame], folder: str) -> DataStreamWriter:
+def stream_apply_results(results: DataFrame, read_snapshot: Callable[[], DataFrame], folder: str,
+                         written: Callable[[str], None] | None = None) -> DataStreamWriter:
     """Apply every micro-batch of results to the newest customer snapshot (T-1).
 
     Batch n writes ``folder/batch_id=n`` and nothing else, so a repeated batch overwrites its own output.
-    ``read_snapshot`` returns the table as of the batch before.
+    ``read_snapshot`` returns the table as of the batch before; ``written`` is told where the new one is.
     """
     def apply(batch: DataFrame, batch_id: int) -> None:
-        apply_results(read_snapshot(), batch).write.mode("overwrite").parquet(f"{folder}/batch_id={batch_id}")
+        target = f"{folder}/batch_id={batch_id}"
+        apply_results(read_snapshot(), batch).write.mode("overwrite").parquet(target)
+        if written:
+            written(target)
 
     return results.writeStream.foreachBatch(apply)
