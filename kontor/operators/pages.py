@@ -98,12 +98,12 @@ def first_of_kind(parsed: DataFrame) -> DataFrame:
 
 
 def contact_links(parsed: DataFrame) -> DataFrame:
-    """Distinct links that look like contact or legal pages, in page order."""
+    """Distinct links that look like contact or legal pages, in page order, under their cleaned URL."""
     rows = parsed.select("site", "pos", "url", F.posexplode("links").alias("link_pos", "link"))
     pattern = "(?:" + "|".join(V.CONTACT_PAGE_KEYWORDS) + ")"
     hit = F.lower("link.text").rlike(pattern) | F.lower(F.trim("link.href")).rlike(pattern)
-    return rows.filter(hit).groupBy("site", "pos", "url", F.col("link.url").alias("target")).agg(
-        F.min("link_pos").alias("link_pos"))
+    named = U.with_clean_url(rows.filter(hit), F.col("link.url"), "target").filter("target <> ''")
+    return named.groupBy("site", "pos", "url", "target").agg(F.min("link_pos").alias("link_pos"))
 
 
 def contact_frontier(parsed: DataFrame, max_pages: int = V.CONTACT_MAX_PAGES) -> DataFrame:

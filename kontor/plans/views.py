@@ -144,19 +144,38 @@ SELECT CASE s_suppkey % 3 WHEN 0 THEN 'Example ' || s_name WHEN 1 THEN 'net Hand
   page_id AS pos, url, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title
 FROM supplier JOIN pages ON s_suppkey = cast((page_id - page_id % 3) / 3 AS bigint)"""
 
+_WS = _WORD.format("s_suppkey")
+# Per supplier a small site: start page (with the title of a stored page), contact page, legal notice and privacy page.
+V_SITES = f"""
+SELECT 4 * k AS page_id, base || '/' AS url, '<html><head><title>Bäckerei ' || w || '</title><meta name="description" content="Unsere Bäckerei bietet täglich frische Backwaren in Berlin an.">'
+  || CASE WHEN k % 3 = 0 THEN '<script type="application/ld+json">{{"@type":"Bakery","openingHoursSpecification":[{{"dayOfWeek":["Monday","Tuesday"],"opens":"08:00","closes":"18:00"}}]}}</script>' ELSE '' END
+  || '</head><body><h1>Backstube</h1><p>' || title || '</p><p>Telefon: 030 ' || cast(200000 + k as string) || '</p>'
+  || CASE WHEN k % 3 = 1 THEN '<p>Montag: 09:00 - 17:00 Mittwoch: geschlossen</p>' ELSE '' END
+  || '<a href="/impressum">Impressum</a><a href="/datenschutz">Datenschutz</a><a href="/kontakt#top">Kontakt</a>'
+  || CASE WHEN k % 2 = 0 THEN '<a href="https://instagram.com/b' || w || '?utm_source=web">I</a>' ELSE '' END || '</body></html>' AS html FROM site
+UNION ALL SELECT 4 * k + 1, base || '/kontakt', '<title>Kontakt</title><form></form><a href="mailto:info@' || host || '">m</a>' FROM site WHERE k % 5 <> 4
+UNION ALL SELECT 4 * k + 2, base || '/impressum', CASE WHEN k % 4 = 1 THEN '<html><title>Impressum</title><body><p>Inhaber: Max Muster</p><p>Webdesign: Agentur Schmidt, Hauptstr. 1, 10115 Berlin</p></body></html>' ELSE
+  '<html><title>Impressum</title><body><dl><dt>Firma:</dt><dd>Beispiel ' || w || ' GmbH</dd><dt>Anschrift</dt><dd>Musterstr. ' || cast(k % 40 + 1 as string) || ', 01067 Dresden</dd></dl><p>Geschäftsführer: Dr. Max Müller und Erika Muster</p><p>Telefon: 030 '
+  || cast(300000 + k as string) || '</p><p>Telefax: 030 999999</p><p>USt-IdNr.: DE ' || cast(100000000 + k as string) || '</p><p>Amtsgericht Dresden, HRB ' || cast(1000 + k as string) || '</p><a href="mailto:webmaster@' || host || '">w</a><a href="mailto:info@' || host || '">m</a></body></html>' END FROM site
+UNION ALL SELECT 4 * k + 3, base || '/datenschutz', '<title>Datenschutz</title>' FROM site"""
+V_SITE = f"""
+SELECT s_suppkey AS k, {_WS} AS w, 'firma-' || {_WS} || '.de' AS host, 'https://firma-' || {_WS} || '.de' AS base, translate(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '0123456789@+', '') AS title
+FROM supplier LEFT JOIN pages ON s_suppkey = page_id"""
+
 VIEWS = {  # in dependency order
     "v_customers": V_CUSTOMERS, "v_import": V_IMPORT, "v_companies": V_COMPANIES, "v_activities": V_ACTIVITIES,
     "v_results": V_RESULTS, "v_paired": V_PAIRED, "v_enrichments": V_ENRICHMENTS, "v_candidates": V_CANDIDATES,
+    "v_site": V_SITE, "v_sites": V_SITES.replace("FROM site", "FROM v_site"),
 }
 _NEEDS = {"v_import": ("v_customers",), "v_activities": ("v_companies",), "v_results": ("v_customers",),
-          "v_paired": ("v_results",), "v_enrichments": ("v_companies",)}
+          "v_paired": ("v_results",), "v_enrichments": ("v_companies",), "v_sites": ("v_site",)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a domain view as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name] if name == "v_enrichments" else VIEWS[name].replace('"', "`")
+    text = VIEWS[name] if name in ("v_enrichments", "v_sites") else VIEWS[name].replace('"', "`")
     text = text.replace("{", "{{").replace("}", "}}")
     sources = {t: load(spark, sf_dir, t) for t in (*TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
     for source in sources:
