@@ -13,6 +13,7 @@ from kontor.operators.common import nth_of_key, with_row_no
 from kontor.plans import oracle as O
 from kontor.plans.catalog import _as_customers, query
 from kontor.plans.views import NOW
+from kontor.session import written
 from kontor.sources import tables
 from kontor.streaming import streams
 
@@ -165,7 +166,8 @@ query("ingest_row_numbers", "SC1 W2", "SELECT count(*) AS n, count(DISTINCT page
 
 
 def _parsed(i) -> DataFrame:
-    return pages.parse_pages(tables.scan_pages(i.pages))
+    """Every page is parsed once, however many branches a query has."""
+    return written(pages.parse_pages(tables.scan_pages(i.pages)), "parsed")
 
 
 _UNESCAPED = "trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g'))"

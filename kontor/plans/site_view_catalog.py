@@ -8,11 +8,12 @@ from pyspark.sql import functions as F
 from kontor.operators import enrich, imprint, pages
 from kontor.plans.catalog import query
 from kontor.plans.views import load
+from kontor.session import written
 from kontor.sources import tables
 
 
 def _parsed(i) -> DataFrame:
-    return pages.parse_pages(tables.scan_pages(load(i.spark, i.sf_dir, "v_sites")))
+    return written(pages.parse_pages(tables.scan_pages(load(i.spark, i.sf_dir, "v_sites"))), "parsed")
 
 
 _NOTICE = "k % 4 <> 1"  # sites with a full legal notice
