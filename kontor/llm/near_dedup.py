@@ -6,11 +6,14 @@ sets of similarity s stay together with probability s per level. Nodes of at mos
 exhaustively; larger ones branch again, on a token that depends on the path. At similarity 0.8, sixteen trees miss a
 pair that parts ways at depth 1, 3 or 5 with probability 7e-12, 2e-5 and 2e-3.
 
-What stays together to the last level is a group of near copies. Its member closest to the group's typical token values
-is compared with all others; members that are not connected to it then are compared with every member of the node, so
-no cap loses a link. A comparison first asks for agreement of tokens (five standard deviations below the expected
-one), then for the sizes, and is decided by the full shingle sets of the texts. Pairs that are connected already are
-not compared again.
+What stays together to the last level is a family of near copies. Its centre, the member closest to the typical token
+values, is compared with all others. For members ``a`` that are not connected to the centre ``c`` then, the whole
+family is searched exactly: ``a`` and ``b`` are similar only if their differences from ``c`` overlap, because
+``|a ^ b| = |a ^ c| + |b ^ c| - 2 |(a ^ c) & (b ^ c)|``. So the rarest elements of these differences are joined (a
+prefix filter), and no cap loses a link.
+
+Small nodes compare all pairs but those of one family, which the family's own search covers. A comparison asks for agreement of tokens (five standard deviations below the expected one) and for
+the sizes, and is decided by the full shingle sets of the texts.
 
 Null and empty texts, and texts without a word, have an empty set and are linked with nothing. With fewer words than a
 shingle, the whole sequence is the one shingle. Rows with one id are one vertex; a null id stands for its class. An
@@ -27,12 +30,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontor.llm.common import attach, column, ragged, slices, stored
 from kontor.operators.similarity import connected_components
 
-TOKENS, TREES, LEVELS, SMALL = 64, 16, 6, 24
+TOKENS, TREES, LEVELS, SMALL = 64, 16, 6, 16
 #: Token places that say what is typical of a large node.
 TYPICAL = 16
 
@@ -175,27 +179,38 @@ def _sized(rows: DataFrame, name: str) -> DataFrame:
     return stored(attach(rows, size, "node", "inner"), name)
 
 
-def _small_pairs(rows: DataFrame) -> DataFrame:
-    """All pairs inside nodes of at most SMALL members; nodes with the same members count once."""
-    groups = rows.filter(F.col("size") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("v")).alias("members")).select("members").distinct()
-    first = groups.select("members", F.posexplode("members").alias("at", "row_a"))
-    return first.select("row_a", F.explode(F.slice("members", F.col("at") + 2, F.lit(SMALL))).alias("row_b"))
+def _members(rows: DataFrame) -> DataFrame:
+    """The member lists of nodes of at most SMALL members; nodes with the same members count once."""
+    return rows.filter(F.col("size") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("v")).alias("members")).select("members").distinct()
 
 
-def _tree_pairs(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Pairs of all small nodes, and the rows (node, v) of nodes that are large at the last level."""
+def _trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Member lists of all small nodes, and the rows (node, v) of nodes that are large at the last level."""
     top = classes.select("v", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     rows = _sized(top.select("v", F.xxhash64("tree", "token").alias("node")), "nodes")
-    found = [_small_pairs(rows)]
+    found = [_members(rows)]
     for level in range(1, LEVELS):
         large = rows.filter(F.col("size") > SMALL).select("node", "v")
         if large.isEmpty():
-            return functools.reduce(DataFrame.unionByName, found).distinct(), large
+            break
         place = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(TOKENS - TREES)) + TREES + 1
         joined = attach(large, classes.select("v", "tokens"), "v", "inner")
         rows = _sized(joined.select("v", F.xxhash64("node", F.element_at("tokens", place.cast("int"))).alias("node")), "nodes")
-        found.append(_small_pairs(rows))
-    return functools.reduce(DataFrame.unionByName, found).distinct(), rows.filter(F.col("size") > SMALL).select("node", "v")
+        found.append(_members(rows))
+    lists = functools.reduce(DataFrame.unionByName, found).distinct()
+    return lists.filter(F.size("members") > 1), rows.filter(F.col("size") > SMALL).select("node", "v")
+
+
+def _list_pairs(lists: DataFrame, family: DataFrame) -> DataFrame:
+    """All pairs of a list but those inside one family."""
+    of_vertex = family.select("centre", F.explode(F.array("v", "centre")).alias("v")).groupBy("v").agg(F.collect_set("centre").alias("families"))
+    owned = lists.select(F.xxhash64("members").alias("list"), F.explode("members").alias("v")).join(of_vertex, "v", "left")
+    no_family = F.array().cast("array<bigint>")
+    again = owned.groupBy("list").agg(F.sort_array(F.collect_set(F.struct("v", F.coalesce("families", no_family).alias("families")))).alias("members"))
+    first = again.select("members", F.posexplode("members").alias("at", "a"))
+    later = F.slice("members", F.col("at") + 2, F.lit(SMALL))
+    apart = F.filter(later, lambda b: ~F.arrays_overlap(F.col("a.families"), b["families"]))
+    return first.select(F.col("a.v").alias("row_a"), F.explode(F.transform(apart, lambda b: b["v"])).alias("row_b")).distinct()
 
 
 def _central(rows: DataFrame, classes: DataFrame) -> DataFrame:
@@ -211,46 +226,67 @@ def _central(rows: DataFrame, classes: DataFrame) -> DataFrame:
         "node", (-F.col("best.less")).alias("centre"))
 
 
-def _unlike(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """The pairs whose ends are not connected yet."""
-    of = lambda x: components.select(F.col("vertex").alias(f"row_{x}"), F.col("component").alias(f"c_{x}"))
-    return pairs.join(of("a"), "row_a", "left").join(of("b"), "row_b", "left").filter(
-        F.coalesce("c_a", "row_a") != F.coalesce("c_b", "row_b")).select("row_a", "row_b")
+def _differences(family: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(centre, v, element): the elements of each member's symmetric difference from its centre, with their number
+    ``apart``, the member's size ``n`` and the number ``prefix`` of rarest elements of which two similar members share one."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(batch.num_rows):
+                own, centre = (np.frombuffer(batch.column(c)[k].as_buffer(), np.int64) for c in ("set", "centre_set"))
+                elements = np.setxor1d(own, centre, assume_unique=True)
+                share = percent / 100
+                prefix = int((1 - share) / (1 + share) * len(own) * (1 + 1 / share) + 1e-9) + 1
+                n = len(elements)
+                same = lambda x: pa.array(np.full(n, x), pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [same(batch.column("centre")[k].as_py()), same(batch.column("v")[k].as_py()), pa.array(elements), same(n), same(len(own)),
+                     same(prefix)], ["centre", "v", "element", "apart", "n", "prefix"])
+
+    with_sets = family.join(sets, "v").join(sets.select(F.col("v").alias("centre"), F.col("set").alias("centre_set")), "centre")
+    return with_sets.select("centre", "v", "set", "centre_set").mapInArrow(
+        run, "centre long, v long, element long, apart long, n long, prefix long")
+
+
+def _family_pairs(family: DataFrame, components: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Pairs of a family that may be similar, at least one of them not connected to the centre."""
+    owner = components.select(F.col("vertex").alias("v"), "component")
+    owned = family.join(owner, "v", "left").withColumn("component", F.coalesce("component", "v"))
+    main = components.select(F.col("vertex").alias("centre"), F.col("component").alias("main"))
+    placed = stored(owned.join(main, "centre", "left").select(
+        "centre", "v", "component", (F.col("component") != F.coalesce("main", "centre")).alias("loose")), "families")
+    if placed.filter("loose").isEmpty():
+        return family.select(F.col("v").alias("row_a"), F.col("v").alias("row_b")).filter(F.lit(False))
+    apart = stored(_differences(family, sets, percent).withColumn("bucket", F.xxhash64("centre", "element")), "differences")
+    uses = apart.groupBy("bucket").agg(F.count(F.lit(1)).alias("uses")).filter("uses > 1")
+    # elements that nobody shares stay in the order, ahead of all others, but need no partner
+    ranked = attach(apart, uses, "bucket").withColumn(
+        "place", F.row_number().over(W.partitionBy("centre", "v").orderBy(F.coalesce("uses", F.lit(1)), "element")))
+    prefixes = stored(ranked.filter("place <= prefix AND uses > 1").select(
+        "bucket", "centre", "v", "n", "apart", "place").join(placed, ["centre", "v"]), "prefixes")
+    probe = prefixes.filter("loose").select("bucket", *[F.col(c).alias(f"{c}_w") for c in ("v", "component", "n", "apart", "place")])
+    # what the two can still share from this element on must make up the overlap that the similarity asks for
+    left = 1 + F.least(F.col("apart") - F.col("place"), F.col("apart_w") - F.col("place_w"))
+    enough = F.lit(2 * (100 + percent)) * left >= F.lit(100 + percent) * (F.col("apart") + F.col("apart_w")) - F.lit(100 - percent) * (F.col("n") + F.col("n_w"))
+    sizes = 100 * F.least("n", "n_w") >= percent * F.greatest("n", "n_w")
+    met = probe.join(prefixes.drop("centre", "loose"), "bucket").filter((F.col("component_w") != F.col("component")) & enough & sizes)
+    return met.select(*_ordered("v", "v_w")).distinct()
 
 
 def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
     """(vertex, component) of all classes that are linked with another one. ``classes``: v, n_shingles, tokens."""
-    pairs, large = _tree_pairs(classes)
-    large = stored(large, "large-nodes")
-    crowded = not large.isEmpty()
-    if crowded:
-        centres = stored(_central(large, classes), "centres")
-        stars = attach(large, centres, "node", "inner").filter("v <> centre").select(*_ordered("v", "centre"))
-        pairs = pairs.unionByName(stars).distinct()
-    likely = stored(_likely(pairs, classes, percent), "likely-pairs")
-    wanted = likely.select(F.explode(F.array("row_a", "row_b")).alias("v"))
-    sets = stored(_full_sets(docs, stored(wanted.unionByName(large.select("v")).distinct(), "set-ids"), width, text, key), "shingle-sets")
-    # first one pair per vertex: mostly that connects what is alike, and the other pairs need no comparison
-    spanning = likely.groupBy("row_b").agg(F.min("row_a").alias("row_a")).select("row_a", "row_b")
-    links = stored(_confirmed(spanning, sets, percent), "links")
+    lists, large = _trees(classes)
+    lists, large = stored(lists, "small-nodes"), stored(large, "large-nodes")
+    centres = stored(_central(large, classes), "centres")
+    # nodes of several trees with one centre are one family
+    family = stored(attach(large, centres, "node", "inner").filter("v <> centre").select("centre", "v").distinct(), "families")
+    stars = family.select(*_ordered("v", "centre")).distinct()
+    likely = stored(_likely(_list_pairs(lists, family).unionByName(stars), classes, percent), "likely-pairs")
+    wanted = likely.select(F.explode(F.array("row_a", "row_b")).alias("v")).unionByName(family.select(F.explode(F.array("v", "centre")).alias("v")))
+    sets = stored(_full_sets(docs, stored(wanted.distinct(), "set-ids"), width, text, key), "shingle-sets")
+    links = stored(_confirmed(likely, sets, percent), "links")
     components = connected_components(links)
-    rest = stored(_confirmed(_unlike(likely, components), sets, percent), "links")
-    if not rest.isEmpty():
-        links = links.unionByName(rest)
-        components = connected_components(links)
-    if crowded:
-        owned = large.join(components.select(F.col("vertex").alias("v"), "component"), "v", "left").select(
-            "node", "v", F.coalesce("component", "v").alias("component"))
-        main = centres.join(components.select(F.col("vertex").alias("centre"), "component"), "centre", "left").select(
-            "node", F.coalesce("component", "centre").alias("main"))
-        apart = stored(attach(owned, main, "node", "inner").filter("component <> main").select(
-            "node", F.col("v").alias("w"), F.col("component").alias("cw")), "apart")
-        if not apart.isEmpty():
-            met = apart.join(owned, "node").filter(F.col("cw") != F.col("component")).select(*_ordered("v", "w")).distinct()
-            late = stored(_confirmed(_likely(met, classes, percent), sets, percent), "links")
-            if not late.isEmpty():
-                components = connected_components(links.unionByName(late))
-    return components
+    more = stored(_confirmed(_likely(_family_pairs(family, components, sets, percent), classes, percent), sets, percent), "links")
+    return components if more.isEmpty() else connected_components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
