@@ -73,6 +73,7 @@ def slices(batches: Iterator[pa.RecordBatch], name: str = "text", step: int = ST
             upto = max(at + 1, int(np.searchsorted(ends, base + step, side="right")))
             yield batch.slice(at, upto - at)
             at = upto
+    pa.default_memory_pool().release_unused()  # the worker stays, its next task may be another step's
 
 
 def words_of(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:

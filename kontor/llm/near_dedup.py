@@ -4,7 +4,7 @@ A document is the set of its word shingles. Equal sets are one class. Classes ho
 function); in each of ``TREES`` independent trees a node passes its members on to children by one chosen token, so two
 sets of similarity s stay together with probability s per level. Nodes of at most ``SMALL`` members are compared
 exhaustively; larger ones branch again, on a token that depends on the path. At similarity 0.8, sixteen trees miss a
-pair that parts ways at depth 1, 3 or 5 with probability 7e-12, 2e-5 and 2e-3.
+pair that parts ways at depth 1, 2, 3 or 4 with probability 7e-12, 8e-8, 2e-5 and 2e-4.
 
 What stays together to the last level is a family of near copies. Its centre, the member closest to the typical token
 values, is compared with all others. For members ``a`` that are not connected to the centre ``c`` then, the whole
@@ -22,7 +22,6 @@ empty table gives an empty result. Only named columns are read, so others cannot
 
 from __future__ import annotations
 
-import functools
 import hashlib
 import math
 from collections.abc import Iterator
@@ -34,14 +33,11 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from kontor.llm.common import attach, column, ragged, slices, stored
-from kontor.operators.similarity import connected_components
 
-TOKENS, TREES, LEVELS, SMALL = 64, 16, 6, 16
+TOKENS, TREES, LEVELS, SMALL = 64, 16, 4, 16
 #: Token places that say what is typical of a large node.
 TYPICAL = 16
 
-_ODD = 0x9E3779B97F4A7C15
-_INVERSE = pow(_ODD, -1, 1 << 64)
 _MASKS = np.array([int.from_bytes(hashlib.sha256(b"mask%d" % k).digest()[:8], "little") for k in range(TOKENS)], np.uint64)
 _FACTORS = np.array([int.from_bytes(hashlib.sha256(b"factor%d" % k).digest()[:8], "little") | 1 for k in range(TOKENS)], np.uint64)
 _LOW = np.arange(256, dtype=np.uint8)
@@ -56,13 +52,16 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-@functools.lru_cache(maxsize=2)
-def _powers(base: int, bits: int) -> np.ndarray:
-    out = np.full(1 << bits, base, np.uint64)
+def _powers(base: int) -> np.ndarray:
+    out = np.full(1 << 16, base, np.uint64)
     out[0] = 1
     return np.multiply.accumulate(out)
 
 
+#: Factors of a byte by its place in the word, low and high 16 bits of the place apart.
+_PLACE, _FAR_PLACE = _powers(0x9E3779B97F4A7C15), _powers(0xC2B2AE3D27D4EB4F)
+
+
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """64-bit hashes of all words, A-Z lower-cased, and the offsets of each text's words."""
     _, where, data = texts.buffers()
@@ -79,11 +78,14 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     starts = np.flatnonzero(head)
     if not len(starts):
         return np.zeros(0, np.uint64), np.zeros(len(texts) + 1, np.int64)
-    bits = max(20, int(len(held)).bit_length())
     terms = np.where(solid, _LOW[held], 0).astype(np.uint64)
     terms[solid] += np.uint64(1)
-    terms *= _powers(_ODD, bits)[:len(held)]
-    sums = np.add.reduceat(terms, starts) * _powers(_INVERSE, bits)[starts]
+    spans = np.diff(np.append(starts, len(held)))
+    place = np.arange(len(held)) - np.concatenate([np.zeros(starts[0], np.int64), np.repeat(starts, spans)])
+    terms *= _PLACE[place & 0xFFFF]
+    if len(held) > 1 << 16:
+        terms *= _FAR_PLACE[(place >> 16) & 0xFFFF]
+    sums = np.add.reduceat(terms, starts)
     sizes = np.add.reduceat(solid, starts, dtype=np.int64).astype(np.uint64)
     return _mix(sums + sizes * np.uint64(0xD6E8FEB86659FD93)), np.searchsorted(starts, edges)
 
@@ -179,16 +181,12 @@ def _sized(rows: DataFrame, name: str) -> DataFrame:
     return stored(attach(rows, size, "node", "inner"), name)
 
 
-def _members(rows: DataFrame) -> DataFrame:
-    """The member lists of nodes of at most SMALL members; nodes with the same members count once."""
-    return rows.filter(F.col("size") <= SMALL).groupBy("node").agg(F.sort_array(F.collect_set("v")).alias("members")).select("members").distinct()
-
-
 def _trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Member lists of all small nodes, and the rows (node, v) of nodes that are large at the last level."""
+    """Member lists of all small nodes (the same members count once), and the rows (node, v) of nodes that are large at
+    the last level."""
     top = classes.select("v", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token"))
     rows = _sized(top.select("v", F.xxhash64("tree", "token").alias("node")), "nodes")
-    found = [_members(rows)]
+    small = rows.filter(F.col("size") <= SMALL)
     for level in range(1, LEVELS):
         large = rows.filter(F.col("size") > SMALL).select("node", "v")
         if large.isEmpty():
@@ -196,11 +194,31 @@ def _trees(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
         place = F.pmod(F.xxhash64("node", F.lit(level)), F.lit(TOKENS - TREES)) + TREES + 1
         joined = attach(large, classes.select("v", "tokens"), "v", "inner")
         rows = _sized(joined.select("v", F.xxhash64("node", F.element_at("tokens", place.cast("int"))).alias("node")), "nodes")
-        found.append(_members(rows))
-    lists = functools.reduce(DataFrame.unionByName, found).distinct()
+        small = small.unionByName(rows.filter(F.col("size") <= SMALL))
+    lists = small.groupBy("node").agg(F.sort_array(F.collect_set("v")).alias("members")).select("members").distinct()
     return lists.filter(F.size("members") > 1), rows.filter(F.col("size") > SMALL).select("node", "v")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """(vertex, component): the smallest vertex reachable over the links (row_a, row_b).
+
+    Labels spread along links and jump to the label of their label, so that rounds grow with the logarithm of the
+    longest chain. Every round is written to the shared folder: that cuts lineage, and a table of known size is joined
+    without a shuffle while it is small.
+    """
+    both = stored(links.unionByName(links.select(F.col("row_b").alias("row_a"), F.col("row_a").alias("row_b"))).select(
+        F.col("row_a").alias("v"), F.col("row_b").alias("u")), "both-ways")
+    labels = stored(both.groupBy("v").agg(F.min("u").alias("u")).select("v", F.least("v", "u").alias("c"), F.lit(True).alias("moved")), "labels")
+    while True:
+        heard = both.join(labels.select(F.col("v").alias("u"), F.col("c").alias("cu")), "u").groupBy("v").agg(F.min("cu").alias("best"))
+        spread = labels.join(heard, "v").select("v", F.col("c").alias("old"), F.least("c", "best").alias("near"))
+        jump = labels.select(F.col("v").alias("near"), F.col("c").alias("far"))
+        lower = F.least("near", F.coalesce("far", "near"))
+        labels = stored(spread.join(jump, "near", "left").select("v", lower.alias("c"), (lower < F.col("old")).alias("moved")), "labels")
+        if labels.filter("moved").isEmpty():
+            return labels.select(F.col("v").alias("vertex"), F.col("c").alias("component"))
+
+
 def _list_pairs(lists: DataFrame, family: DataFrame) -> DataFrame:
     """All pairs of a list but those inside one family."""
     of_vertex = family.select("centre", F.explode(F.array("v", "centre")).alias("v")).groupBy("v").agg(F.collect_set("centre").alias("families"))
@@ -284,9 +302,9 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
     wanted = likely.select(F.explode(F.array("row_a", "row_b")).alias("v")).unionByName(family.select(F.explode(F.array("v", "centre")).alias("v")))
     sets = stored(_full_sets(docs, stored(wanted.distinct(), "set-ids"), width, text, key), "shingle-sets")
     links = stored(_confirmed(likely, sets, percent), "links")
-    components = connected_components(links)
+    components = _components(links)
     more = stored(_confirmed(_likely(_family_pairs(family, components, sets, percent), classes, percent), sets, percent), "links")
-    return components if more.isEmpty() else connected_components(links.unionByName(more))
+    return components if more.isEmpty() else _components(links.unionByName(more))
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:

@@ -20,9 +20,9 @@ import regex
 
 from kontor.llm.common import ragged
 
-MEMORY = 900_000
+MEMORY = 400_000
 #: Bytes of text per step: fewer, larger steps look up each distinct pretoken less often.
-TOKEN_STEP = 8 << 20
+TOKEN_STEP = 4 << 20
 #: The one pretokenizer pattern that ``pretokens`` cuts by (a fixed value of the vocabulary file).
 _PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Texts of printable ASCII, white space and Latin letters, whose case and composition rules are the same in every library.
@@ -70,9 +70,9 @@ def pretokens(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
         head[suffix + 1] = False
         head[after[after < n]] = True
     solid = kind != _SPACE
-    place = np.cumsum(solid, dtype=np.int64)
+    place = np.cumsum(solid, dtype=np.int32 if n < 1 << 31 else np.int64)
     starts = np.flatnonzero(head & solid)
-    offsets = np.concatenate([place[starts] - 1, place[-1:]]) if n else np.zeros(1, np.int64)
+    offsets = np.concatenate([place[starts] - 1, place[-1:]]).astype(np.int64) if n else np.zeros(1, np.int64)
     flat = pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(held[solid])])
     return flat, np.searchsorted(starts, edges)
 
@@ -115,7 +115,7 @@ class TextEncoder:
 
     def forget(self) -> None:
         self.known: dict[bytes, int] = {}
-        self.pool, self.filled = np.zeros(1 << 21, np.uint32), 0
+        self.pool, self.filled = np.zeros(1 << 20, np.uint32), 0
         self.starts, self.lengths = np.zeros(1 << 17, np.int64), np.zeros(1 << 17, np.int64)
 
     def _learn(self, wanted: list[bytes]) -> None:
