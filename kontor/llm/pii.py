@@ -63,15 +63,18 @@ _OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
 _PLAIN_DOT = "|".join(DOT_WORDS[:-1])
 _AFTER_AT = rf"(?=[a-z0-9-]+(?:\s*{_OPEN}\s*(?:{_dot})\s*{_CLOSE}\s*|\s+(?:{_PLAIN_DOT})\s+)(?:[a-z0-9-]+(?:\s+(?:{_PLAIN_DOT})\s+|\.))*(?:{'|'.join(ENDINGS)})(?!\w))"
 _REWRITE = re.compile(
-    rf"(?P<at>\s*{_OPEN}\s*(?:{_at})\s*{_CLOSE}\s*|(?<=[a-z0-9])\s+(?:at|arroba|arobase)\s+{_AFTER_AT})"
-    rf"|(?P<dot>\s*{_OPEN}\s*(?:{_dot})\s*{_CLOSE}\s*|(?<=[a-z0-9])\s+(?:{_PLAIN_DOT})\s+(?=[a-z0-9]))"
+    rf"(?P<at>(?<!\s)\s*{_OPEN}\s*(?:{_at})\s*{_CLOSE}\s*|(?<=[a-z0-9])\s+(?:at|arroba|arobase)\s+{_AFTER_AT})"
+    rf"|(?P<dot>(?<!\s)\s*{_OPEN}\s*(?:{_dot})\s*{_CLOSE}\s*|(?<=[a-z0-9])\s+(?:{_PLAIN_DOT})\s+(?=[a-z0-9]))"
     rf"|(?P<digits>(?<!\w)(?:{_NUMBER_WORD})(?!\w)(?:[\s,-]*(?<!\w)(?:{_NUMBER_WORD}|[0-9])(?!\w))*)"
-    rf"|(?P<odd>[^\x00-ɏ‐-‧]|[{HIDDEN}])", re.IGNORECASE)
+    rf"|(?P<odd>[^\x00-ɏ‐-‧]|[{HIDDEN}․])", re.IGNORECASE)
 _WORDS = re.compile(rf"{_NUMBER_WORD}|[0-9]", re.IGNORECASE)
-# which texts the transducer has to read (RE2)
+# Which texts the transducer has to read: all that _REWRITE finds something in (RE2; its \s, \w and (?i) know fewer characters).
+_SPACE, _EDGE = r"[\s\x0b\x1c-\x1f\x{85}\pZ]*", "[^0-9A-Za-z_]"
 _DISGUISED = (
-    rf"(?i)[\[({{<]\s*(?:{_at}|{_dot})\s*[\])}}>]|[^\pL](?:{_PLAIN_DOT})\s|[^\x00-\x{{24F}}\x{{2010}}-\x{{2027}}]|[{HIDDEN}]"
-    rf"|(?:(?:{_NUMBER_WORD})[\s,-]+){{6}}")
+    rf"(?i)[\[({{<]{_SPACE}(?:{_at}|{_dot}){_SPACE}[\])}}>]|[^\pL](?:{_PLAIN_DOT})[^\pL]|[{HIDDEN}\x{{2024}}]"
+    rf"|(?:^|{_EDGE})(?:{_NUMBER_WORD})(?:{_EDGE}|$)").replace("i", "[iİı]").replace("(?[iİı])", "(?i)") + r"|[^\x00-\x{24F}\x{2010}-\x{2027}]"
+# letters that the patterns above also take for i and s
+_FOLDED = str.maketrans({"İ": "i", "ı": "i", "ſ": "s"})
 
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
@@ -146,7 +149,7 @@ class Transduced:
         parts, self.marks, size, done = [], [], 0, 0
         for m in _REWRITE.finditer(text):
             if m.lastgroup == "digits":
-                new = "".join(w if w.isdigit() else _DIGIT_OF[w] for w in (x.lower() for x in _WORDS.findall(m[0])))
+                new = "".join(w if w.isdigit() else _DIGIT_OF[w] for w in (x.translate(_FOLDED).lower() for x in _WORDS.findall(m[0])))
             else:
                 new = {"at": "@", "dot": "."}.get(m.lastgroup) or plain_character(m[0])
                 if m.lastgroup == "odd" and new == m[0]:

@@ -6,7 +6,7 @@ import re
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from kontor.llm.pii import KINDS, DETECTORS, disguised, found_spans, luhn
+from kontor.llm.pii import KINDS, DETECTORS, Transduced, disguised, found_spans, listed, luhn
 
 RULES = {
     "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
@@ -70,3 +70,27 @@ def test_rows(spark):
     assert got[0].spans == base and got[0].base_sha256 == hashlib.sha256(base.encode()).hexdigest()
     assert got[3].spans == "email:0:19" and got[2].base_sha256 == hashlib.sha256(b"").hexdigest()
     assert found_spans(docs.limit(0)).count() == 0
+
+
+PIECES = ["+", "1", "49", "415", "0199", "4111", "1111", "plus", "one", "Five", "fünf", "ZÉRO", "un", "ſix", "sıx", "at", "dot", "punkt", "[at]",
+          "(\xa0dot )", "<\x0bÄT>", "joe", "mail", "com", "a@b.co", "10.0", "․", "．", "\xad", "\u200b", "о"]
+
+
+def test_every_disguise_reaches_the_transducer(spark):
+    named = ["call +1 415 five five five 0199", "plus one four one five 555 0199", "card four one one one 1111 1111 1111",
+             "+49 170 one two three four five six", "joe@example․com", "joe [\xa0at ] mail.com", "joe at mail\xa0dot\xa0com",
+             "call +1 415 ſix ſix ſix 0199", "call +1 415 sıx SİX six 0199"]
+    random = __import__("random").Random(8)
+    made = ["".join(random.choice(PIECES) + random.choice([" ", " ", "-", ", ", "\xa0", ""]) for _ in range(random.randint(1, 14))) for _ in range(6000)]
+    texts = named + made
+    got = {r.doc_id: r for r in found_spans(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    for k, text in enumerate(texts):
+        plain = {kind: DETECTORS[kind](text) for kind in KINDS}
+        more = disguised(text, plain)
+        assert got[k].n_added == sum(map(len, more.values())), text
+        assert got[k].spans == listed({kind: plain[kind] + more.get(kind, []) for kind in KINDS}), text
+        assert k >= len(named) or got[k].n_added, text
+
+
+def test_long_blank_runs_take_linear_time():
+    assert Transduced("one" + " " * 300_000 + "[at]" + " " * 300_000 + "b").text == "1@b"
