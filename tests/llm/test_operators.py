@@ -1,6 +1,7 @@
 """Each operator on awkward rows: nulls, empty and long texts, ties, repeats, clashing columns, empty tables."""
 
 import collections
+import textwrap
 import zlib
 
 import brute
@@ -299,6 +300,26 @@ def test_licences(spark, docs, rows, empty):
     assert license_scan.scanned(empty).count() == 0
 
 
+def test_licences_over_several_lines_and_paragraphs(spark):
+    wording = dict((n, w) for n, w in reversed(license_scan.TEMPLATES))
+    prose = "\n".join(" ".join(f"word{k * 12 + j}" for j in range(12)) for k in range(60))
+
+    def wrapped(text, width, every):
+        """Lines of ``width`` characters, with a blank line behind every few of them."""
+        lines = textwrap.wrap(text, width)
+        return "\n\n".join("\n".join(lines[k:k + every]) for k in range(0, len(lines), every))
+
+    header = "\n".join("// " + line for line in textwrap.wrap([w for n, w in license_scan.TEMPLATES if n == "Apache-2.0"][1], 70))
+    more = [(60, f"{prose}\n\n{wrapped(wording['MIT'], 72, 5)}\n\n{prose}"), (61, f"{prose}\n\n{wrapped(wording['BSD-2-Clause'], 78, 4)}\n\n{prose}"),
+            (62, f"{prose}\n\n{wrapped(wording['BSD-3-Clause'], 60, 3)}\n \n{prose}"), (63, f"#!/bin/sh\n{header}\nimport os\nimport sys\n{prose}"),
+            (64, "my project\nReleased under\nthe MIT License.\nmore text here"), (65, f"{prose}\nReleased under the MIT License.\nok\n{prose}"),
+            (66, f"{prose}\n{wrapped(wording['MIT'], 72, 5)}\n{prose}\n{wrapped(wording['BSD-2-Clause'], 72, 5)}"), (67, f"{prose}\n\n{wording['MIT'][:300]}\n\n{prose}")]
+    got = {r.doc_id: r for r in license_scan.scanned(spark.createDataFrame(more, "doc_id long, text string")).collect()}
+    assert {k: (r.license, r.n_matches) for k, r in got.items()} == {
+        60: ("MIT", 1), 61: ("BSD-2-Clause", 1), 62: ("BSD-3-Clause", 1), 63: ("Apache-2.0", 1), 64: ("MIT", 1), 65: ("MIT", 1), 66: ("BSD-2-Clause", 2), 67: (None, 0)}
+    assert all(got[k].dice == 1.0 for k in (60, 61, 62, 63, 64, 65, 66))
+
+
 def test_exact_groups(spark, docs, rows, empty):
     want = brute.exact_keep([(k, t) for k, t, *_ in rows])
     got = exact_dedup.exact_groups(docs).collect()
