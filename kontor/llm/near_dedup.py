@@ -309,6 +309,11 @@ def class_components(docs: DataFrame, classes: DataFrame, width: int, percent: i
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row: the smallest id reachable over links, itself included."""
+    return _owned(docs, width, percent, text, key).drop("digest")
+
+
+def _owned(docs: DataFrame, width: int, percent: int, text: str, key: str) -> DataFrame:
+    """``near_duplicates`` with the digest of the shingle set."""
     table = stored(sketches(docs, width, text, key), "sketches")
     filled = table.filter(F.col("digest").isNotNull())
     classes = stored(filled.groupBy("digest").agg(
@@ -318,10 +323,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, text: st
         "digest", F.coalesce("component", "v").alias("owner"))
     # two rows of one id may be in two classes: the vertex is both
     out = attach(table.select("doc_id", "n_shingles", "digest"), owned, "digest").withColumn("component_id", F.coalesce("owner", "doc_id"))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "n_shingles", "digest", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
 def representatives(docs: DataFrame, width: int = 5, percent: int = 80, text: str = "text", key: str = "doc_id") -> DataFrame:
     """The rows of ``docs`` that stand for their component, all columns as they were."""
-    gone = stored(near_duplicates(docs, width, percent, text, key).filter("NOT kept").select(F.col("doc_id").alias("__gone")).distinct(), "gone")
-    return docs.join(gone, F.col(key).cast("long").eqNullSafe(F.col("__gone")), "left_anti")
+    lost = _owned(docs, width, percent, text, key).filter("NOT kept")
+    # rows without an id are told apart by their shingle sets
+    gone = stored(lost.select(F.col("doc_id").alias("__gone"), F.when(F.col("doc_id").isNull(), F.col("digest")).alias("digest")).distinct(), "gone")
+    number = F.col(key).cast("long")
+    left = docs.join(gone.filter("__gone IS NOT NULL").select("__gone"), number == F.col("__gone"), "left_anti")
+    unnamed = gone.filter("__gone IS NULL").select("digest")
+    if unnamed.isEmpty():
+        return left
+    texts = docs.filter(number.isNull()).select(F.xxhash64(text).alias("hash"), F.col(text).alias("text"))
+    copies = stored(sketches(texts, width, "text", "hash").join(unnamed, "digest", "left_semi").select(F.col("doc_id").alias("__gone")).distinct(), "gone-texts")
+    return left.join(copies, number.isNull() & (F.xxhash64(text) == F.col("__gone")), "left_anti")

@@ -262,6 +262,13 @@ def test_near_duplicates(spark, docs, rows, empty, width, percent):
     assert near_dedup.near_duplicates(empty).count() == 0
 
 
+def test_rows_without_an_id_are_removed_by_their_text(spark):
+    unique = " ".join(f"only{k}" for k in range(30))
+    rows = [(1, SENTENCE, "en", "a"), (None, SENTENCE, "en", "b"), (None, unique, "en", "c"), (None, None, "en", "d"), (None, "short", "en", "e"), (2, SENTENCE, "en", "f")]
+    left = near_dedup.representatives(table(spark, rows)).collect()
+    assert sorted(r.source for r in left) == ["a", "c", "d", "e"]
+
+
 def test_large_groups_of_near_copies(spark, monkeypatch):
     """A star: copies are like the original, but hardly like each other; and a chain. No node size loses a link."""
     monkeypatch.setattr(near_dedup, "SMALL", 4)
