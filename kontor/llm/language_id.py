@@ -27,7 +27,7 @@ from kontor.llm.common import column, slices
 ORDERS = (1, 2, 3, 4)
 BUCKET_BITS = 15
 BUCKETS = 1 << BUCKET_BITS
-#: Bounds of the fit: labelled rows learned from, landmarks among them, languages (those with most rows), rows per language.
+#: Labelled rows learned from, landmarks among them, languages (those with most rows) that are learned from fewer rows, too, rows per language.
 TRAIN_ROWS, LANDMARKS, LANGUAGES, LEAST_ROWS = 4096, 512, 256, 16
 RIDGE = 1e-3
 #: Characters of text that are turned into n-grams at once.
@@ -101,7 +101,8 @@ def fit(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridg
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0), np.float32), np.zeros(0))
-    label = np.array([languages.index(x) for x in labels])
+    number = {x: k for k, x in enumerate(languages)}
+    label = np.array([number[x] for x in labels])
     turn = np.zeros(len(label), np.int64)
     for k in range(len(languages)):
         turn[label == k] = np.arange((label == k).sum())
@@ -129,12 +130,14 @@ def training_rows(docs: DataFrame, text: str, key: str, language: str, rows: int
     """(language, packed presence) of the sample: per language the rows first by digest of their id, ``rows`` in all."""
     known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(language).cast("string").alias("language"))
-    common = known.groupBy("language").count().orderBy(F.desc("count"), "language").limit(LANGUAGES).collect()
-    names, count = [r.language for r in common], len(common)
+    counts = known.groupBy("language").count()
+    # every language with enough rows, and up to LANGUAGES of any size
+    common = set(counts.filter(F.col("count") >= LEAST_ROWS).collect()) | set(counts.orderBy(F.desc("count"), "language").limit(LANGUAGES).collect())
+    names, count = sorted(r.language for r in common), len(common)
     each = max(LEAST_ROWS, rows // max(1, count))
     rank = W.partitionBy("language").orderBy(F.md5(F.coalesce("id", F.lit("")).cast("binary")), "id")
     ids = known.filter(F.col("language").isin(names)).withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= each)
-    # at most rows + LEAST_ROWS x LANGUAGES ids: small by construction
+    # at most rows + LEAST_ROWS x languages ids: small by construction
     wanted = F.broadcast(ids.select(F.col("id").alias("__id"), F.col("language").alias("__language")).distinct())
     texts = docs.select(F.col(key).cast("string").alias("id"), F.col(language).cast("string").alias("language"), F.col(text).alias("text")).join(
         wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("language") == F.col("__language")), "left_semi").filter(F.col("text").isNotNull())
@@ -151,7 +154,7 @@ def training_rows(docs: DataFrame, text: str, key: str, language: str, rows: int
 
 
 def trained(docs: DataFrame, text: str = "text", key: str = "doc_id", language: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on a bounded sample: at most ``2 * (rows + LEAST_ROWS * LANGUAGES)`` packed presence vectors (4 kB each) reach the driver."""
+    """Fit on a bounded sample: at most ``2 * (rows + LEAST_ROWS * languages)`` packed presence vectors (4 kB each) reach the driver."""
     sample = sorted(training_rows(docs, text, key, language, rows).collect(), key=lambda r: (r.language, r.id or "", bytes(r.bits)))
     return fit([bytes(r.bits) for r in sample], [r.language for r in sample])
 

@@ -238,6 +238,17 @@ def test_language(spark, empty):
     assert language_id.predicted(empty, model).count() == 0
 
 
+def test_every_language_with_enough_rows_is_learned(spark):
+    random = np.random.default_rng(6)
+    text = lambda k: " ".join("".join(chr(0x4E00 + 4 * k + c) for c in random.integers(0, 4, 4)) for _ in range(12))
+    rows = [(1000 * k + j, text(k), f"l{k:03d}", "s") for k in range(260) for j in range(language_id.LEAST_ROWS + (k < 256))]
+    docs = table(spark, rows)
+    model = language_id.trained(docs)
+    assert len(model.languages) == 260
+    last = docs.filter("lang >= 'l256'")
+    assert {(r.doc_id // 1000, r.lang_pred) for r in language_id.predicted(last, model).collect()} == {(k, f"l{k}") for k in range(256, 260)}
+
+
 def test_kernel_is_folded_exactly():
     texts = pa.array(["hello world", "hallo welt", "bonjour monde", "salut le monde", "hello there"], pa.large_string())
     have = language_id.presence(texts)
