@@ -128,16 +128,16 @@ def _stream_results(i) -> DataFrame:
     source, out, log = (fresh_path(i.spark, name) for name in ("results", "applied", "applied-log"))
     results, customers = i.results, i.customers.drop("ANALYZED_AT", "WEBSITE_SCORE_CATEGORY", "HAS_IMPRINT", "INDUSTRY", "ENRICHMENT_STATUS")
     half = results.agg(F.expr("(min(result_no) + max(result_no)) / 2").cast("long")).first()[0]
-    for part in (F.col("result_no") <= half, F.col("result_no") > half):
-        results.filter(part).coalesce(1).write.mode("append").parquet(source)
     done: list[str] = []
 
     def snapshot() -> DataFrame:
         return i.spark.read.parquet(done[-1]) if done else customers
 
-    stream = i.spark.readStream.schema(results.schema).option("maxFilesPerTrigger", 1).parquet(source)
-    run = streams.stream_apply_results(stream, snapshot, out, done.append).option("checkpointLocation", log).trigger(availableNow=True).start()
-    run.awaitTermination()
+    for part in (F.col("result_no") <= half, F.col("result_no") > half):
+        results.filter(part).write.mode("append").parquet(source)
+        stream = i.spark.readStream.schema(results.schema).parquet(source)
+        run = streams.stream_apply_results(stream, snapshot, out, done.append).option("checkpointLocation", log).trigger(availableNow=True).start()
+        run.awaitTermination()
     return i.spark.read.parquet(done[-1]).select("row_no", "WEBSITE", "EMAIL", "STATUS", "LAST_CHECK")
 
 

@@ -302,3 +302,17 @@ def test_lookup_sides_are_unique(spark):
     changes = spark.createDataFrame([("A", "", "x"), ("A", None, "y"), ("B", "", "z"), ("B", "", "w")], "company_name string, city string, notes string")
     result = upsert(stored.limit(1).select("id", "company_name", "city", "notes"), changes, ["company_name", "city"], ["notes"], "2024-01-01")
     assert sorted((r.company_name, r.notes) for r in result.collect()) == [("A", "y"), ("B", "z")]
+
+
+def test_results_are_fed_in_two_batches_of_many_files(spark, monkeypatch):
+    import types
+
+    from kontor.plans import catalog, roundtrip_catalog
+
+    paths, fresh = {}, roundtrip_catalog.fresh_path
+    monkeypatch.setattr(roundtrip_catalog, "fresh_path", lambda s, name: paths.setdefault(name, fresh(s, name)))
+    i = catalog.Inputs(spark, "/root/testdata/sf0.001")
+    few = types.SimpleNamespace(spark=spark, results=i.results.repartition(4), customers=i.customers)
+    assert roundtrip_catalog._stream_results(few).count() == i.customers.count()
+    assert len(spark.read.parquet(paths["results"]).inputFiles()) > 2
+    assert spark.read.parquet(paths["applied"]).select("batch_id").distinct().count() == 2
