@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kontor.llm.binary_packing import packed_matrices
+from kontor.llm.byte_bpe import round_trip
 from kontor.llm.common import fresh_path
 from kontor.llm.exact_dedup import exact_groups
 from kontor.llm.language_id import held_out, predicted, trained
@@ -21,6 +22,7 @@ from kontor.llm.quality_rules import COUNTS, quality_verdicts
 from kontor.llm.token_counts import token_counts
 
 WORD_BPE = "word_bpe_49k.json"
+BYTE_RANKS = "byte_bpe_50k.tiktoken"
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,8 +77,13 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
-    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op7_near_dedup, op8_pii, op9_license_scan, op10_exact_dedup)}
+    op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op7_near_dedup, op8_pii, op9_license_scan, op10_exact_dedup,
+    op12_byte_bpe)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 _BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
