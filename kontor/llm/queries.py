@@ -12,6 +12,7 @@ from kontor.llm.binary_packing import packed_matrices
 from kontor.llm.byte_bpe import round_trip
 from kontor.llm.common import fresh_path
 from kontor.llm.exact_dedup import exact_groups
+from kontor.llm.fill_middle import MIDDLE, PREFIX, SEED, SUFFIX, examples, restored
 from kontor.llm.language_id import held_out, predicted, trained
 from kontor.llm.license_scan import LEAST_DICE, TEMPLATES, scanned
 from kontor.llm.mixing import mixing_plan
@@ -81,9 +82,15 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
 
 
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = examples(documents(spark, sf_dir))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"),
+                       F.sha2(restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op7_near_dedup, op8_pii, op9_license_scan, op10_exact_dedup,
-    op12_byte_bpe)}
+    op12_byte_bpe, op13_fill_middle)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 _BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -133,6 +140,22 @@ SQL: dict[str, str] = {
                   QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY dice DESC, name) = 1))
         SELECT d.doc_id, license, round(dice, 6) AS dice, coalesce(parts, 0) AS n_matches
         FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND r = 1""",
+    "op13_fill_middle": f"""
+        WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+        numbers AS (SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1,
+                      CAST('0x' || h[9:16] AS BIGINT) AS h2, CAST('0x' || h[25:32] AS BIGINT) AS h4 FROM docs),
+        cuts AS (SELECT *, CAST(len(units) AS BIGINT) AS n, least(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS a,
+                   greatest(h1 % (len(units) + 1), h2 % (len(units) + 1)) AS b FROM numbers),
+        parts AS (SELECT doc_id, text, n, array_to_string(units[1:a], '') AS p, array_to_string(units[a + 1:b], '') AS m,
+                    array_to_string(units[b + 1:n], '') AS s,
+                    CASE WHEN text = '' OR contains(text, '{PREFIX}') OR contains(text, '{SUFFIX}') OR contains(text, '{MIDDLE}') THEN 'plain'
+                         WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM cuts)
+        SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars,
+               CASE WHEN form <> 'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+               sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '{PREFIX}' || p || '{SUFFIX}' || s || '{MIDDLE}' || m
+                      ELSE '{SUFFIX}' || s || '{PREFIX}' || p || '{MIDDLE}' || m END) AS output_sha256,
+               sha256(CASE form WHEN 'plain' THEN text ELSE p || m || s END) AS restored_sha256
+        FROM parts""",
     "op10_exact_dedup": r"""
         WITH rows AS (SELECT doc_id, length(coalesce(text, '')) AS n,
                              sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256 FROM documents)
