@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from kontor.llm.binary_packing import packed_matrices
 from kontor.llm.byte_bpe import round_trip
-from kontor.llm.common import fresh_path
+from kontor.llm.common import SPACE, fresh_path, text_of
 from kontor.llm.exact_dedup import exact_groups
 from kontor.llm.fill_middle import MIDDLE, PREFIX, SEED, SUFFIX, examples, restored
 from kontor.llm.language_id import held_out, predicted, trained
@@ -21,6 +21,7 @@ from kontor.llm.near_dedup import near_duplicates
 from kontor.llm.pii import found_spans
 from kontor.llm.quality_rules import COUNTS, quality_verdicts
 from kontor.llm.token_counts import token_counts
+from kontor.llm.word_runs import LEAST_EXPONENT, LEAST_LENGTH, word_runs
 
 WORD_BPE = "word_bpe_49k.json"
 BYTE_RANKS = "byte_bpe_50k.tiktoken"
@@ -78,6 +79,35 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(documents(spark, sf_dir))
 
 
+def planted(docs: DataFrame) -> DataFrame:
+    """One document in ten, chosen by the checksum of its id, becomes periodic from a word on, as the contract of op11 asks."""
+    checksum = F.crc32(F.col("doc_id").cast("string"))
+    g, n = F.floor(checksum / 10), F.size("words")
+    split = F.filter(F.split(text_of(), SPACE + "+"), lambda w: w != "")
+    rows = docs.select("doc_id", "text", F.when(checksum % 10 == 0, split).alias("words"))
+    rows = rows.withColumn("a", F.when(n > 0, g % n)).withColumn("p", 1 + F.floor((n - F.col("a")) / (3 + g % 8)))
+    moved = F.transform("words", lambda w, i: F.when(i < F.col("a"), w).otherwise(
+        F.get("words", (F.col("a") + (i - F.col("a")) % F.col("p")).cast("int"))))
+    return rows.select("doc_id", F.when(n > 0, F.array_join(moved, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def run_rows(docs: DataFrame) -> DataFrame:
+    """Counts, the longest run and digests of all runs and of the collapsed text."""
+    ranked = F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period")))
+    found = word_runs(docs).withColumn("best", F.array_max(ranked))
+    start, length, period = -F.col("best.start"), F.col("best.length"), -F.col("best.period")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op11_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_rows(planted(documents(spark, sf_dir)))
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_trip(documents(spark, sf_dir), public_tokenizers.path(BYTE_RANKS))
 
@@ -90,7 +120,7 @@ def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (
     op1_binary_packing, op2_token_counts, op3_quality_rules, op4_mixing, op5_mixture_packing, op6_language_id, op7_near_dedup, op8_pii, op9_license_scan, op10_exact_dedup,
-    op12_byte_bpe, op13_fill_middle)}
+    op11_word_runs, op12_byte_bpe, op13_fill_middle)}
 
 _SIZE = r"CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT)"
 _BIGRAMS = "list_distinct(list_transform(range(1, len({0})), lambda i: {0}[i] || ' ' || {0}[i + 1]))"
@@ -140,6 +170,31 @@ SQL: dict[str, str] = {
                   QUALIFY row_number() OVER (PARTITION BY doc_id, w ORDER BY dice DESC, name) = 1))
         SELECT d.doc_id, license, round(dice, 6) AS dice, coalesce(parts, 0) AS n_matches
         FROM documents d LEFT JOIN best b ON d.doc_id = b.doc_id AND r = 1""",
+    "op11_word_runs": f"""
+        WITH crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0],
+                       lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS steps),
+        docs AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS w,
+                   xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda d: CAST(ascii(d) AS BIGINT))),
+                     lambda c, x: xor(c >> 8, steps[(xor(c, x) & 255) + 1])), 4294967295) AS h FROM documents, crc),
+        placed AS (SELECT *, len(w) AS n, CASE WHEN h % 10 = 0 AND len(w) > 0 THEN (h // 10) % len(w) END AS a FROM docs),
+        words AS (SELECT r, doc_id, n, CASE WHEN a IS NULL THEN w ELSE list_transform(range(n), lambda i:
+                    CASE WHEN i < a THEN w[i + 1] ELSE w[a + (i - a) % (1 + (n - a) // (3 + (h // 10) % 8)) + 1] END) END AS w FROM placed),
+        each AS (SELECT r, n, unnest(w) AS w, unnest(range(n)) AS i FROM words),
+        threes AS (SELECT r, n, i, w || ' ' || lead(w) OVER d || ' ' || lead(w, 2) OVER d AS t FROM each WINDOW d AS (PARTITION BY r ORDER BY i)),
+        apart AS (SELECT x.r, x.i, y.i - x.i AS q FROM threes x JOIN threes y ON x.r = y.r AND x.t = y.t
+                  WHERE y.i > x.i AND {LEAST_EXPONENT} * (y.i - x.i) <= x.n),
+        islands AS (SELECT r, q, i, i - row_number() OVER (PARTITION BY r, q ORDER BY i) AS island FROM apart),
+        stretches AS (SELECT r, q, min(i) AS start, count(*) + 2 + q AS length FROM islands GROUP BY r, q, island
+                      HAVING count(*) + 2 + q >= greatest({LEAST_LENGTH}, {LEAST_EXPONENT} * q)),
+        runs AS (SELECT r, start, length, min(q) AS period FROM stretches GROUP BY r, start, length),
+        listed AS (SELECT r, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines
+                   FROM runs GROUP BY r),
+        best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY r ORDER BY length DESC, start, period) = 1),
+        kept AS (SELECT r, string_agg(w, ' ' ORDER BY i) AS collapsed FROM each e
+                 WHERE NOT EXISTS (SELECT 1 FROM runs u WHERE u.r = e.r AND e.i >= u.start + u.period AND e.i < u.start + u.length) GROUP BY r)
+        SELECT d.doc_id, coalesce(n_runs, 0) AS n_runs, b.start, b.length, b.period, 1000 * b.length // b.period AS exponent_milli,
+               sha256(coalesce(lines, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+        FROM words d LEFT JOIN listed l ON d.r = l.r LEFT JOIN best b ON d.r = b.r LEFT JOIN kept k ON d.r = k.r""",
     "op13_fill_middle": f"""
         WITH docs AS (SELECT doc_id, coalesce(text, '') AS text, sha256('{SEED}:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
         numbers AS (SELECT *, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS units, CAST('0x' || h[1:8] AS BIGINT) AS h1,
