@@ -131,7 +131,7 @@ class PageReader(HTMLParser):
         elif tag in ("h1", "h2") and len(self.headings) < 8:
             self.headings.append(_squeeze(text))
         elif tag == "a" and "href" in attrs:
-            self.links[node.extra["slot"]] = (_joined(self.url, attrs["href"]), attrs["href"], text, node.hidden)
+            self.links[node.extra["slot"]] = (joined(self.url, attrs["href"]), attrs["href"], text, node.hidden)
         elif tag == "script" and self.script is not None:
             self._read_json("".join(self.script))
             self.script = None
@@ -199,7 +199,7 @@ class PageReader(HTMLParser):
         }
 
 
-def _joined(base: str, href: str) -> str:
+def joined(base: str, href: str) -> str:
     try:
         return urljoin(base, href)
     except ValueError:

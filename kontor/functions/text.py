@@ -2,8 +2,8 @@
 
 Spark has no NFKC/NFKD function. Single-character mappings are applied with ``translate`` over a table
 derived from Unicode data; the few multi-character cases and base+accent compositions sit behind an
-``rlike`` guard, so plain text never pays for them. Covered: Latin, punctuation, full-width forms.
-Scripts outside these ranges are left as they are (documented deviation).
+``rlike`` guard, so plain text never pays for them. This covers Latin, punctuation and full-width forms. Only
+values with characters of other scripts go to an Arrow kernel, a column at a time; all others reach it as NULL.
 """
 
 from __future__ import annotations
@@ -13,8 +13,11 @@ import re
 import functools
 import unicodedata
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from kontor import vocab as V
 
@@ -24,6 +27,8 @@ WS = " \t\n\r\x0b\x0c\x1c\x1d\x1e\x1f" + _WIDE_SPACES
 WS_CLASS = r"[\s\x0b\x1c-\x1f\x85\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 NON_WORD_RUN = r"[^\p{L}\p{N}_]+"
 _NON_ASCII = r"[^\x00-\x7F]"
+# Characters outside what the native tables cover, and marks that may join others than the listed letters.
+_OTHER_SCRIPT = r"[^\x00-\u024f\u0300-\u0303\u0308\u030a\u030c\u0327\u0328\u2000-\u218f\ufb00-\ufb06\uff01-\uff5e]"
 
 
 @functools.lru_cache(maxsize=None)
@@ -81,6 +86,16 @@ def nfkc(column: Column) -> Column:
     return F.when(~column.rlike(_NON_ASCII), column).when(column.rlike(special), replaced).otherwise(mapped)
 
 
+@pandas_udf(StringType())
+def _normalized(values: pd.Series) -> pd.Series:
+    return values.map(lambda x: unicodedata.normalize("NFKC", x), na_action="ignore")  # Arrow's own kernel leaves marks apart
+
+
+def nfkc_any(column: Column) -> Column:
+    """Compatibility composition of any script; not for use inside array functions, which take no Python kernel."""
+    return F.coalesce(_normalized(F.when(column.rlike(_OTHER_SCRIPT), column)), nfkc(column))
+
+
 def strip(column: Column) -> Column:
     return F.trim(column, F.lit(WS))
 
@@ -107,6 +122,11 @@ def is_blank(column: Column) -> Column:
 
 def text(column: Column) -> Column:
     """NFKC, collapsed whitespace; NULL becomes '' (X2)."""
+    return collapse(nfkc_any(as_text(column)))
+
+
+def cell_text(column: Column) -> Column:
+    """``text`` of cells written in Latin signs: phones, mailboxes, addresses of the web, postal codes."""
     return collapse(nfkc(as_text(column)))
 
 
@@ -122,7 +142,7 @@ def norm_name(column: Column) -> Column:
 def company_key(name: Column, city: Column) -> Column:
     """Case-insensitive key of name and city; the separator is whitespace and collapses."""
     joined = F.concat(strip(as_text(name)), F.lit("\x1f"), strip(as_text(city)))
-    return collapse(nfkc(casefold(joined)))
+    return collapse(nfkc_any(casefold(joined)))
 
 
 def normalize_status(column: Column) -> Column:

@@ -91,7 +91,7 @@ def with_clean_url(df: DataFrame, value: Column, out: str) -> DataFrame:
 def with_website(df: DataFrame, value: Column, out: str) -> DataFrame:
     """Add ``out``: canonical website of a customer cell, '' for documents and non-URLs."""
     t = f"__{out}"
-    staged = df.withColumn(f"{t}_text", T.text(value))
+    staged = df.withColumn(f"{t}_text", T.cell_text(value))
     cell = F.col(f"{t}_text")
     staged = staged.withColumn(
         f"{t}_url", F.when(cell.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*://"), cell).otherwise(F.concat(F.lit("https://"), cell)))

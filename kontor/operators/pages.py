@@ -9,12 +9,15 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from kontor import vocab as V
 from kontor.functions import address as A
 from kontor.functions import contacts as C
 from kontor.functions import text as T
 from kontor.functions import web as U
+from kontor.session import checkpointed
 
 _PARSED = (
     "title string, meta_description string, headings array<string>, "
@@ -97,22 +100,53 @@ def first_of_kind(parsed: DataFrame) -> DataFrame:
         F.min_by("url", F.when(F.col("has_form"), F.col("pos"))).alias("form_url"))
 
 
-def contact_links(parsed: DataFrame) -> DataFrame:
-    """Distinct links that look like contact or legal pages, in page order, under their cleaned URL."""
+def _contact_hits(parsed: DataFrame) -> DataFrame:
+    """Links whose text or address names a contact or legal page."""
     rows = parsed.select("site", "pos", "url", F.posexplode("links").alias("link_pos", "link"))
     pattern = "(?:" + "|".join(V.CONTACT_PAGE_KEYWORDS) + ")"
     hit = F.lower("link.text").rlike(pattern) | F.lower(F.trim("link.href")).rlike(pattern)
-    named = U.with_clean_url(rows.filter(hit), F.col("link.url"), "target").filter("target <> ''")
+    return rows.filter(hit).select("site", "pos", "url", "link_pos", F.trim("link.href").alias("href"), F.col("link.url").alias("address"))
+
+
+def contact_links(parsed: DataFrame) -> DataFrame:
+    """Distinct links that look like contact or legal pages, in page order, under their cleaned URL."""
+    named = U.with_clean_url(_contact_hits(parsed), F.col("address"), "target").filter("target <> ''")
     return named.groupBy("site", "pos", "url", "target").agg(F.min("link_pos").alias("link_pos"))
 
 
+@pandas_udf(StringType())
+def _joined(base: pd.Series, href: pd.Series) -> pd.Series:
+    """Links resolved against the start page of their walk."""
+    from kontor.functions.html import joined
+
+    return pd.Series([joined(b, h) for b, h in zip(base, href)], dtype="object")
+
+
 def contact_frontier(parsed: DataFrame, max_pages: int = V.CONTACT_MAX_PAGES) -> DataFrame:
-    """Start page and its first contact links, at most ``max_pages`` per start page."""
-    window = W.partitionBy("site", "pos", "url").orderBy("link_pos")
-    links = contact_links(parsed).filter(F.col("target") != F.col("url")).withColumn(
-        "rank", F.row_number().over(window)).filter(F.col("rank") <= max_pages - 1)
-    home = parsed.select("site", "pos", "url", F.col("url").alias("page_url"), F.lit(0).alias("rank"))
-    return home.unionByName(links.select("site", "pos", "url", F.col("target").alias("page_url"), "rank"))
+    """The pages a contact search visits from every start page, in order: (site, pos, url, page_url, rank).
+
+    A first-in-first-out queue per start page, all queues advanced together by one level of links. A page that is not
+    stored is visited in vain but takes its place; links count in page order and are resolved against the start page.
+    A queue holds at most ``max_pages`` entries, so a level adds a bounded number of rows per start page; what leaves
+    the loop each round is one flag.
+    """
+    hits = _contact_hits(parsed)
+    links = checkpointed(hits.groupBy(F.col("url").alias("page_url"), "href").agg(F.min(F.struct("pos", "link_pos")).alias("link_place")))
+    key = ["site", "pos", "url"]
+    queues = checkpointed(parsed.select(*key, F.array("url").alias("queue"), F.lit(0).alias("done")))
+    for _ in range(max_pages - 1):
+        fresh = queues.select(*key, "queue", F.posexplode("queue").alias("at", "page_url"), "done").filter("at >= done")
+        found = fresh.join(links, "page_url").withColumn("resolved", _joined("url", "href"))
+        found = U.with_clean_url(found, F.col("resolved"), "target").filter("target <> '' AND NOT array_contains(queue, target)")
+        first = found.groupBy(*key, "target").agg(F.min(F.struct("at", "link_place")).alias("place"), F.first(F.size("queue")).alias("held"))
+        ranked = first.withColumn("nth", F.row_number().over(W.partitionBy(*key).orderBy("place")))
+        added = ranked.filter(F.col("nth") + F.col("held") <= max_pages).groupBy(*key).agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("nth", "target"))), lambda x: x["target"]).alias("added"))
+        queues = checkpointed(queues.join(added, key, "left").select(
+            *key, F.concat("queue", F.coalesce("added", F.array().cast("array<string>"))).alias("queue"), F.size("queue").alias("done")))
+        if queues.filter(F.size("queue") > F.col("done")).isEmpty():
+            break
+    return queues.select(*key, F.posexplode("queue").alias("rank", "page_url")).select(*key, "page_url", "rank")
 
 
 _EMAIL_IN_TEXT = r"([A-Za-z0-9.!#$%&'*+/=?^_`{|}~-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})"

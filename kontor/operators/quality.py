@@ -34,7 +34,7 @@ def normalize_rows(df: DataFrame) -> DataFrame:
     fields = []
     for name in columns:
         cell = F.col(f"`{name}`")
-        fallback = T.casefold(T.text(cell))
+        fallback = T.casefold(T.cell_text(cell))
         if name in V.PHONE_COLUMNS:
             if name != next(c for c in V.PHONE_COLUMNS if c in columns):
                 staged = C.with_phone(staged, cell, f"n_phone_{name}")
@@ -138,14 +138,14 @@ def issues(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
         finding(filled & (F.col("n_name") == ""), "missing", V.NAME, "Kundenname fehlt"),
         finding(filled & (F.col("n_city") == ""), "missing", V.CITY, "Ort fehlt"),
         finding(filled & ~T.is_blank(phone) & (F.col("n_phone") == ""), "invalid_phone", "TELEFON",
-                "Ungültige Telefonnummer", T.text(phone)),
+                "Ungültige Telefonnummer", T.cell_text(phone)),
         finding(filled & ~T.is_blank(mail) & (F.col("n_email") == ""), "invalid_email", "EMAIL",
-                "Ungültige E-Mail-Adresse", T.text(mail)),
+                "Ungültige E-Mail-Adresse", T.cell_text(mail)),
         finding(filled & _normalizable(site), "website_normalizable", "WEBSITE",
-                "Website kann normalisiert werden", T.text(site)),
+                "Website kann normalisiert werden", T.cell_text(site)),
     ]
     for name in (c for c in data_columns(df) if c.upper() in V.POSTAL_COLUMNS):
-        raw, postal = T.text(F.col(f"`{name}`")), A.normalize_postal_code(F.col(f"`{name}`"))
+        raw, postal = T.cell_text(F.col(f"`{name}`")), A.normalize_postal_code(F.col(f"`{name}`"))
         decimal = raw.rlike(r"^[+-]?\d+[.,]\d+$") & ~raw.rlike(r"^.*[.,]0+$")
         found.append(finding(filled & decimal, "invalid_postal_code", name,
                              "Postleitzahl enthält einen Dezimalwert", raw))
@@ -157,7 +157,7 @@ def issues(df: DataFrame, rows: DataFrame | None = None) -> DataFrame:
 
 def _normalizable(site: Column) -> Column:
     return (~T.is_blank(site) & (F.col("n_website") != "")
-            & (F.col("n_website") != F.rtrim(T.text(site), F.lit("/"))))
+            & (F.col("n_website") != F.rtrim(T.cell_text(site), F.lit("/"))))
 
 
 def issues_view(found: DataFrame, tab: str) -> DataFrame:
@@ -335,7 +335,7 @@ def clean_rows(df: DataFrame, *, skip_missing_customer_name: bool = True, invali
         if name in V.PHONE_COLUMNS:
             staged = C.with_phone(staged, cell, f"v_{name}")
             valid = F.col(f"v_{name}")
-            better = filled & (valid != "") & (valid != T.text(cell))
+            better = filled & (valid != "") & (valid != T.cell_text(cell))
             clear = filled & (valid == "") & F.lit(invalid_phone_action == "clear")
             result[name] = F.when(better, valid).when(clear, "").otherwise(cell)
             phones = phones + F.when(better | clear, 1).otherwise(0)
@@ -347,7 +347,7 @@ def clean_rows(df: DataFrame, *, skip_missing_customer_name: bool = True, invali
         elif name in V.WEBSITE_COLUMNS:
             staged = U.with_website(staged, cell, f"v_{name}")
             valid = F.col(f"v_{name}")
-            better = filled & (valid != "") & (valid != F.rtrim(T.text(cell), F.lit("/")))
+            better = filled & (valid != "") & (valid != F.rtrim(T.cell_text(cell), F.lit("/")))
             result[name] = F.when(better, valid).otherwise(cell)
             sites = sites + F.when(better, 1).otherwise(0)
         elif name.upper() in V.POSTAL_COLUMNS:

@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import itertools
+import functools
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.functions import pandas_udf
-from pyspark.sql.types import ArrayType, DoubleType, StringType
+from pyspark.sql.types import DoubleType
 
 from kontor import vocab as V
 from kontor.functions import text as T
@@ -18,7 +18,8 @@ from kontor.session import checkpointed
 
 
 SHARD_ROWS = 500
-MAX_DELETIONS = 3
+#: Name lengths for which ``gram_length`` is tried out.
+_PROVEN = 400
 
 
 @pandas_udf(DoubleType())
@@ -51,152 +52,112 @@ def _edit_distance_within(a: str, b: str, bound: Column) -> Column:
     return F.call_function("levenshtein", F.col(a), F.col(b), bound) >= 0
 
 
-def _longest_partner(length: Column, threshold: int) -> Column:
-    return F.floor(length * F.lit(200 - threshold) / F.lit(threshold)).cast("int")
+def _letters(name: Column) -> Column:
+    """How often each of sixteen groups of letters occurs, up to four times, as marks in 64 bits.
 
+    One insertion or deletion changes one mark at most, so the marks two names do not share bound their distance from below.
+    """
+    group = F.transform(F.split(name, ""), lambda c: F.pmod(F.ascii(c), F.lit(16)))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(15)), F.lit(0).cast("bigint"), lambda marks, g: marks.bitwiseOR(F.call_function(
+        "shiftleft", F.call_function("shiftleft", F.lit(1).cast("bigint"), F.least(F.size(F.filter(group, lambda x: x == g)), F.lit(4))) - 1, 4 * g)))
 
-def _spare(length: Column) -> Column:
-    """Extra segments per name, so that its most common segments can be left out without losing a pair."""
-    return F.least(F.lit(2), F.floor(length / F.lit(8)).cast("int"))
 
+def _distance(shorter: int, longer: int, threshold: int) -> int:
+    """Largest insert/delete distance within the threshold, of the parity of the joint length."""
+    bound = (shorter + longer) * (100 - threshold) // 100
+    return bound - (bound + shorter + longer) % 2
 
-def _segments(length: Column, threshold: int) -> Column:
-    return _bound(length + _longest_partner(length, threshold), threshold) + 1 + _spare(length)
 
+def _lost_grams(own: int, other: int, threshold: int, q: int) -> int:
+    """Most q-grams of a name of length ``own`` that a similar name of length ``other`` may lack.
 
-def _letters(name: Column) -> Column:
-    """Presence of letters as a 64-bit mask, several letters per bit."""
-    bits = F.transform(F.split(name, ""), lambda c: F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod(F.ascii(c), F.lit(64))))
-    return F.aggregate(bits, F.lit(0).cast("bigint"), lambda acc, b: acc.bitwiseOR(b))
+    A character that goes away takes at most q grams along, one that comes in splits at most q - 1.
+    """
+    distance = _distance(min(own, other), max(own, other), threshold)
+    gone = (distance + own - other) // 2
+    return q * gone + (q - 1) * (distance - gone)
 
 
-def _exact_bound(shorter: int, longer: int, threshold: int) -> int:
-    """Largest reachable insert/delete distance: within the threshold and of the parity of the joint length."""
-    bound = (shorter + longer) * (100 - threshold) // 100
-    return bound - (bound + shorter + longer) % 2
+@functools.lru_cache(maxsize=None)
+def gram_length(threshold: int) -> int:
+    """Longest gram (three at most) for which every name that can have a partner keeps at least one gram.
 
+    Whether it does repeats with the length once names are long, so lengths up to ``_PROVEN`` decide.
+    """
+    def enough(q: int) -> bool:
+        for own in range(1, _PROVEN):
+            for other in range(-(-own * threshold // (200 - threshold)) or 1, own * (200 - threshold) // threshold + 1):
+                if _distance(min(own, other), max(own, other), threshold) > 0 and own - q < _lost_grams(own, other, threshold, q):
+                    return False
+        return True
 
-def _deletions(shorter: int, longer: int, threshold: int) -> tuple[int, int]:
-    """How many characters each side loses to reach the longest common subsequence a pair must share."""
-    bound = _exact_bound(shorter, longer, threshold)
-    return (bound - longer + shorter) // 2, (bound + longer - shorter) // 2
+    return next(q for q in (3, 2, 1) if q == 1 or enough(q))
 
 
-def _partners(longer: int, threshold: int) -> range:
-    """Lengths of shorter or equal names a name of this length can be similar to."""
-    return range(-(-longer * threshold // (200 - threshold)) or 1, longer + 1)
+def _lost(own: Column, other: Column, threshold: int, q: int) -> Column:
+    """``_lost_grams`` as an expression."""
+    distance = _reach(own, other, threshold)
+    gone = F.call_function("shiftright", distance + own - other, F.lit(1))
+    return q * gone + (q - 1) * (distance - gone)
 
 
-def short_length(threshold: int) -> int:
-    """Names up to this length are joined by their subsequences: at most three deletions are needed."""
-    length = 0
-    while length < 64 and all(_deletions(m, length + 1, threshold)[1] <= MAX_DELETIONS for m in _partners(length + 1, threshold)):
-        length += 1
-    return length
+def _reach(own: Column, other: Column, threshold: int) -> Column:
+    """``_distance`` as an expression."""
+    bound = _bound(own + other, threshold)
+    return bound - (bound + own + other).bitwiseAND(F.lit(1))
 
 
-@pandas_udf(ArrayType(StringType()))
-def _subsequences(names: pd.Series, lost: pd.Series) -> pd.Series:
-    """Distinct strings that remain when ``lost`` characters are removed."""
-    return pd.Series([list({"".join(c) for c in itertools.combinations(n, len(n) - k)}) for n, k in zip(names, lost)])
+def _most_lost(own: Column, threshold: int, q: int) -> Column:
+    """Most grams lost to a partner of any length."""
+    shortest = F.ceil(own * F.lit(threshold) / F.lit(200 - threshold)).cast("int")
+    longest = F.floor(own * F.lit(200 - threshold) / F.lit(threshold)).cast("int")
+    return F.array_max(F.transform(F.sequence(F.greatest(shortest, F.lit(1)), longest), lambda other: _lost(own, other, threshold, q)))
 
 
-def _similar_short(sized: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs of short names: they share a subsequence of the length their ratio demands.
+def _rare_grams(sized: DataFrame, threshold: int, q: int) -> DataFrame:
+    """The rarest grams of every name: (name, len, gram, at, nth, uses), as many as a partner can lack, and one more.
 
-    Each side is expanded to exactly the subsequences the length pair calls for, so two names meet only
-    when they are similar; frequent word parts do not bring unrelated names together.
+    Grams are ranked by how many places they have in all names. A pair's first common gram in that order is then among
+    the rarest ones of both names (prefix filter, Chaudhuri et al., ICDE 2006).
     """
-    limit = short_length(threshold)
-    plan = [(m, n, *_deletions(m, n, threshold)) for n in range(1, limit + 1) for m in _partners(n, threshold)]
-    short = sized.filter(F.col("len") <= limit)
-
-    def expanded(mine: int, lost: int, out: str) -> DataFrame:
-        uses = F.array(*[F.struct(F.lit(p[mine]).alias("own"), F.lit(p[0]).alias("m"), F.lit(p[1]).alias("n"), F.lit(p[lost]).alias("lost"))
-                         for p in plan])
-        rows = short.withColumn("use", F.explode(F.filter(uses, lambda u: u["own"] == F.col("len"))))
-        rows = rows.select("name", "len", "use.m", "use.n", _subsequences("name", "use.lost").alias("parts"))
-        rows = rows.select("name", "len", "m", "n", F.explode("parts").alias("part"))
-        return rows.select(F.xxhash64("m", "n", "part").alias("key"), F.col("name").alias(f"name_{out}"), F.col("len").alias(f"len_{out}"))
-
-    if not plan:
-        return sized.select(F.col("name").alias("name_a"), F.col("name").alias("name_b")).filter(F.lit(False))
-    shorter, longer = expanded(0, 2, "a"), expanded(1, 3, "b")
-    return shorter.join(longer, "key").filter(
-        (F.col("len_a") < F.col("len_b")) | ((F.col("len_a") == F.col("len_b")) & (F.col("name_a") < F.col("name_b")))).select("name_a", "name_b")
+    places = F.sequence(F.lit(1), F.col("len") - (q - 1))
+    grams = sized.filter(F.col("len") >= q).select("name", "len", F.posexplode(F.transform(
+        places, lambda at: F.xxhash64(F.substring(F.col("name"), at, F.lit(q))))).alias("at", "gram"))
+    uses = grams.groupBy("gram").agg(F.count(F.lit(1)).alias("uses"))
+    nth = F.row_number().over(W.partitionBy("name").orderBy("uses", "gram", "at")) - 1
+    return attach(grams, uses, ["gram"]).withColumn("nth", nth).filter(F.col("nth") <= _most_lost(F.col("len"), threshold, q))
 
 
 def similar_names(names: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) -> DataFrame:
     """All pairs of distinct names with ratio >= threshold: (name_a, name_b, match).
 
-    ``names`` holds one column ``name`` without repeats. Short names meet on shared subsequences, longer
-    ones on shared segments; every meeting is checked with the exact ratio.
+    ``names`` holds one column ``name`` without repeats. Every name has one bounded list of keys, its rarest grams. Two
+    names meet where a gram is rare enough in both for their two lengths and stands at places no farther apart than
+    insertions and deletions can move it; the meeting is checked by a banded edit distance, then by the exact ratio. A
+    gram that many names share is cut into shards, so that no task holds all of its names.
     """
     # every name grows to many keys: keep full parallelism where adaptive execution sees only few bytes
     spread = int(names.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     sized = names.filter("name <> ''").withColumn("len", F.length("name")).repartition(spread, "name")
-    candidates = _similar_short(sized, threshold).unionByName(_similar_long(sized, threshold))
-    pairs = candidates.dropDuplicates(["name_a", "name_b"])
-    return pairs.withColumn("match", ratio("name_a", "name_b")).filter(F.col("match") >= threshold).select(
-        F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "match")
-
-
-def _similar_long(sized: DataFrame, threshold: int) -> DataFrame:
-    """Candidate pairs whose longer name exceeds ``short_length``.
-
-    A shorter name is cut into more segments than the two names may differ by, so at least one segment
-    survives unchanged at a near position of the longer one (partition-based similarity join, Li et al.,
-    VLDB 2011). Each name leaves out its globally most common segments, up to the number of spare ones,
-    which keeps frequent word parts out of the join while the result stays complete.
-    """
-    limit = short_length(threshold)
-    k = _segments(F.col("len"), threshold)
-    cut = lambda i, n, parts: F.floor(i * n / parts).cast("int")
-    reaches = _longest_partner(F.col("len"), threshold) > limit
-    index = sized.filter(reaches).withColumn("k", k).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    start, stop = cut(F.col("i"), F.col("len"), F.col("k")), cut(F.col("i") + 1, F.col("len"), F.col("k"))
-    index = index.withColumn("key", F.xxhash64("len", "i", F.substring(F.col("name"), start + 1, stop - start)))
-    common = index.groupBy("key").agg(F.count(F.lit(1)).alias("uses"))
-    rank = F.row_number().over(W.partitionBy("name").orderBy(F.desc("uses"), "i"))
-    index = attach(index, common, ["key"]).withColumn("rank", rank).filter(F.col("rank") > _spare(F.col("len")))
-    # a key that is still frequent is cut into shards of its index rows; its probes visit all shards
-    shards = F.ceil(F.col("uses") / F.lit(SHARD_ROWS)).cast("int")
-    index = index.select("key", F.pmod(F.xxhash64("name"), shards).cast("int").alias("shard"),
-                         F.col("name").alias("name_a"), F.col("len").alias("len_a"), _letters(F.col("name")).alias("letters_a"))
-    frequent = common.filter(F.col("uses") > SHARD_ROWS).select("key", shards.alias("shards"))
-
-    def probes_for(m):
-        parts, bound = _segments(m, threshold), _bound(m + F.col("len"), threshold)
-        delta = F.col("len") - m
-        low = -F.floor((bound - delta) / F.lit(2)).cast("int")
-        high = F.floor((bound + delta) / F.lit(2)).cast("int")
-
-        def at_segment(i):
-            begin, end = cut(i, m, parts), cut(i + 1, m, parts)
-            keys = F.transform(F.sequence(low, high), lambda x: F.when(
-                (begin + x >= 0) & (end + x <= F.col("len")),
-                F.xxhash64(m, i, F.substring(F.col("name"), begin + x + 1, end - begin))))
-            return F.array_compact(keys)
-
-        return F.flatten(F.transform(F.sequence(F.lit(0), parts - 1), at_segment))
-
-    shortest = F.ceil(F.col("len") * F.lit(threshold) / F.lit(200 - threshold)).cast("int")
-    probe = sized.filter(F.col("len") > limit).withColumn("key", F.explode(F.array_distinct(F.flatten(F.transform(
-        F.sequence(F.greatest(shortest, F.lit(1)), F.col("len")), probes_for))))).select(
-        "key", F.col("name").alias("name_b"), F.col("len").alias("len_b"), _letters(F.col("name")).alias("letters_b"))
-    probe = attach(probe, frequent, ["key"]).withColumn(
-        "shard", F.explode(F.sequence(F.lit(0), F.coalesce("shards", F.lit(1)) - 1))).drop("shards")
-
-    bound = _bound(F.col("len_a") + F.col("len_b"), threshold)
-    candidates = index.join(probe, ["key", "shard"]).filter(
-        (F.col("len_a") <= F.col("len_b"))
-        & ((F.col("len_a") < F.col("len_b")) | (F.col("name_a") < F.col("name_b")))
-        & (F.col("len_b") - F.col("len_a") <= bound)
-        # one insertion or deletion changes the presence of one letter at most
+    q = gram_length(threshold)
+    keys = checkpointed(_rare_grams(sized, threshold, q).withColumn("letters", _letters(F.col("name"))))
+    shards = F.ceil(F.col("rare") / F.lit(SHARD_ROWS)).cast("int")
+    frequent = keys.groupBy("gram").agg(F.count(F.lit(1)).alias("rare")).filter(F.col("rare") > SHARD_ROWS).select("gram", shards.alias("shards"))
+    keys = attach(keys, frequent, ["gram"]).withColumn("shards", F.coalesce("shards", F.lit(1)))
+    side = lambda df, s: df.select("gram", "shard", *[F.col(c).alias(f"{c}_{s}") for c in ("name", "len", "at", "nth", "letters")])
+    shorter = side(keys.withColumn("shard", F.pmod(F.xxhash64("name"), F.col("shards")).cast("int")), "a")
+    longer = side(keys.withColumn("shard", F.explode(F.sequence(F.lit(0), F.col("shards") - 1))), "b")
+    a, b, bound = F.col("len_a"), F.col("len_b"), _reach(F.col("len_a"), F.col("len_b"), threshold)
+    met = shorter.join(longer, ["gram", "shard"]).filter(
+        ((a < b) | ((a == b) & (F.col("name_a") < F.col("name_b")))) & (b - a <= bound)
+        & (F.col("nth_a") <= _lost(a, b, threshold, q)) & (F.col("nth_b") <= _lost(b, a, threshold, q))
+        & (F.abs(F.col("at_a") - F.col("at_b")) <= F.floor((bound + b - a) / F.lit(2)))
         & (F.bit_count(F.col("letters_a").bitwiseXOR(F.col("letters_b"))) <= bound)
         # edit distance never exceeds the insert/delete distance
-        & (_edit_distance_within("name_a", "name_b", bound)))
-    return candidates.select("name_a", "name_b")
+        & _edit_distance_within("name_a", "name_b", bound))
+    pairs = met.select("name_a", "name_b").dropDuplicates()
+    return pairs.withColumn("match", ratio("name_a", "name_b")).filter(F.col("match") >= threshold).select(
+        F.least("name_a", "name_b").alias("name_a"), F.greatest("name_a", "name_b").alias("name_b"), "match")
 
 
 def similar_pairs(df: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) -> DataFrame:
@@ -206,7 +167,7 @@ def similar_pairs(df: DataFrame, threshold: int = V.SIMILARITY_THRESHOLD) -> Dat
     is the number of row pairs it stands for. Equal names are not expanded into row pairs here, because
     one frequent name alone would give a quadratic result; see ``expand_pairs``.
     """
-    counts = df.groupBy(T.as_text(F.col(V.NAME)).alias("name")).agg(F.count(F.lit(1)).alias("n"))
+    counts = checkpointed(df.groupBy(T.as_text(F.col(V.NAME)).alias("name")).agg(F.count(F.lit(1)).alias("n")))
     pairs = similar_names(counts.select("name"), threshold)
     left = counts.select(F.col("name").alias("name_a"), F.col("n").alias("n_a"))
     right = counts.select(F.col("name").alias("name_b"), F.col("n").alias("n_b"))

@@ -148,8 +148,54 @@ query("groups_view", "F30", _norm(f"""SELECT CASE g.category WHEN 'identical' TH
     lambda i: quality.groups_view(quality.name_groups(quality.normalize_rows(i.imported), list(_CELLS)), i.imported).drop("group_id"))
 query("exact_duplicates", "D1 O1", """SELECT row_no, "KUNDENNAME", "CITY" FROM v_customers QUALIFY count(*) OVER (PARTITION BY "KUNDENNAME", "CITY") > 1""", "v_customers")(
     lambda i: quality.exact_duplicates(i.customers).select("row_no", "KUNDENNAME", "CITY"))
-query("similar_names", "J11 X17")(lambda i: similarity.similar_pairs(i.imported))
-query("duplicate_statistics", "A12")(lambda i: similarity.duplicate_statistics(i.imported))
+# Literal numbers of many countries and what becomes of them, dealt to the customers by their number.
+_NUMBERS = (
+    ("+33 1 42 68 53 00", "+33 1 42 68 53 00", "fixed"), ("0033 (0)6 12 34 56 78", "+33 6 12 34 56 78", "mobile"), ("+39 06 1234 5678", "+39 06 1234 5678", "fixed"),
+    ("+39 312 345 6789", "+39 312 345 6789", "mobile"), ("+34 912345678", "+34 912 34 56 78", "fixed"), ("+34 612-345-678", "+34 612 34 56 78", "mobile"),
+    ("+31 (0)20 123 4567", "+31 20 123 4567", "fixed"), ("+31 6 12345678", "+31 6 12345678", "mobile"), ("+32 2 123 45 67", "+32 2 123 45 67", "fixed"),
+    ("+32 470/12.34.56", "+32 470 12 34 56", "mobile"), ("+352 621 123 456", "+352 621 123 456", "mobile"), ("+44 (0)20 7946 0018", "+44 20 7946 0018", "fixed"),
+    ("+44 7400 123456", "+44 7400 123456", "mobile"), ("+48 22 123 45 67", "+48 22 123 45 67", "fixed"), ("+420 601 123 456", "+420 601 123 456", "mobile"),
+    ("+45 32123456", "+45 32 12 34 56", "fixed"), ("+46 8 123 456 78", "+46 8 123 456 78", "fixed"), ("+47 406 12 345", "+47 406 12 345", "mobile"),
+    ("+351 212 345 678", "+351 212 345 678", "fixed"), ("+36 1 234 5678", "+36 1 234 5678", "fixed"), ("+43 664 123456", "+43 664 123456", "mobile"),
+    ("+41 44 668 18 00", "+41 44 668 18 00", "fixed"), ("+1 212 555 0123", "+1 212-555-0123", "fixed"), ("+1 800 234 5678", "+1 800-234-5678", "hotline"),
+    ("+49 (0)30 901820", "+49 30 901820", "fixed"), ("0171 2345678", "+49 171 2345678", "mobile"), ("+886 2 2345 6789", "+886 223456789", "other"),
+    ("+210 1234567", "", "unknown"), ("+999 1234567", "", "unknown"), ("+33 1 42 68", "", "unknown"), ("+1 212 155 0123", "", "unknown"), ("+45 1234567", "", "unknown"))
+_NUMBER_ROWS = ", ".join(f"({k}, '{a}', '{b}', '{c}')" for k, (a, b, c) in enumerate(_NUMBERS))
+
+
+def _dealt_numbers(df: DataFrame) -> DataFrame:
+    given = F.element_at(F.split(F.lit("|".join(x[0] for x in _NUMBERS)), r"\|"), (F.col("row_no") % len(_NUMBERS) + 1).cast("int"))
+    return C.with_phone(df.select("row_no", given.alias("given")), F.col("given"), "phone").select("row_no", "given", "phone", F.col("phone_type").alias("kind"))
+
+
+# Names in several scripts and their comparison forms.
+_SCRIPTS = (
+    ("\u0391\u0301\u03bb\u03c6\u03b1  \u0395\u03a0\u0395", "άλφα επε"), ("\u0418\u0306\u043e\u0433\u0443\u0440\u0442 \u041e\u041e\u041e", "йогурт ооо"),
+    ("\u1112\u1161\u11ab\u1100\u116e\u11a8 \u1109\u1161", "한국 사"), ("\ufb01nanz \ufb03x", "finanz ffix"), ("\uff21\uff22 \u2460", "ab 1"), ("\u30ab\u3099\u30b9", "ガス"),
+    ("\uff76\uff9e\uff7d", "ガス"), ("\u3392 Funk", "mhz funk", "MHz funk MHz funk"), ("Cafe\u0301", "café"), ("\u05e9\u05c1alom", "ש alom", "שׁalom שׁalom"), ("\u1e9b\u0323", "ṩ"), ("\ud55c\uae00", "한글"))
+_SCRIPT_ROWS = ", ".join(f"({k}, '{b}', '{key[0] if key else b + ' ' + b}')" for k, (_, b, *key) in enumerate(_SCRIPTS))
+
+
+def _dealt_names(df: DataFrame) -> DataFrame:
+    given = F.element_at(F.split(F.lit("|".join(x[0] for x in _SCRIPTS)), r"\|"), (F.col("row_no") % len(_SCRIPTS) + 1).cast("int"))
+    return df.select("row_no", given.alias("given")).select("row_no", T.norm_name(F.col("given")).alias("n_name"), T.company_key(F.col("given"), F.col("given")).alias("company_key"))
+
+
+query("names_of_scripts", "X2 X3 X4", f"""SELECT row_no, n_name, company_key FROM v_import JOIN (VALUES {_SCRIPT_ROWS}) t(k, n_name, company_key) ON row_no % {len(_SCRIPTS)} = k""", "v_import")(
+    lambda i: _dealt_names(i.imported))
+query("phones_of_countries", "X14", f"""SELECT row_no, given, phone, kind FROM v_import JOIN (VALUES {_NUMBER_ROWS}) t(k, given, phone, kind) ON row_no % {len(_NUMBERS)} = k""", "v_import")(
+    lambda i: _dealt_numbers(i.imported))
+# All pairs of names; those a banded edit distance leaves are compared by their longest common subsequence, a bit a character.
+_PAIRS = """WITH nm AS (SELECT coalesce("KUNDENNAME", '') AS name, count(*) AS n FROM v_import GROUP BY 1),
+ near AS (SELECT a.name AS x, b.name AS y, a.n AS n_a, b.n AS n_b, (1::bigint << length(a.name)) - 1 AS every FROM nm a JOIN nm b ON a.name < b.name
+   WHERE a.name <> '' AND levenshtein(a.name, b.name) <= (length(a.name) + length(b.name)) // 10),
+ masks AS (SELECT *, list_transform(string_split(y, ''), lambda c: list_sum(list_transform(range(length(x)), lambda i: CASE WHEN x[i + 1] = c THEN 1::bigint << i ELSE 0 END))::bigint) AS m FROM near),
+ common AS (SELECT *, length(x) - bit_count(list_reduce(list_concat([every], m), lambda r, h: ((r + (r & h)) | (r - (r & h))) & every)) AS lcs FROM masks),
+ pairs AS (SELECT x AS name_a, y AS name_b, n_a, n_b, 200.0::double * lcs / (length(x) + length(y)) AS match, n_a * n_b AS row_pairs FROM common WHERE 200 * lcs >= 90 * (length(x) + length(y))
+   UNION ALL SELECT name, name, n, n, 100.0, n * (n - 1) // 2 FROM nm WHERE n > 1)"""
+query("similar_names", "J11 X17", f"{_PAIRS} SELECT * FROM pairs", "v_import")(lambda i: similarity.similar_pairs(i.imported))
+query("duplicate_statistics", "A12", f"""{_PAIRS} SELECT (SELECT count(*) FROM v_import) AS rows, (SELECT cast(coalesce(sum(n), 0) AS bigint) FROM (SELECT count(*) AS n FROM v_import GROUP BY "KUNDENNAME", "CITY") WHERE n > 1) AS exact_duplicates,
+  cast(2 * sum(row_pairs) AS bigint) AS similar_duplicates FROM pairs""", "v_import")(lambda i: similarity.duplicate_statistics(i.imported))
 
 # ------------------------------------------------------------------ filters
 _C = lambda f: (lambda i: f(i.customers).select("row_no"))

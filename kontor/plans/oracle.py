@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from kontor import vocab as V
 
 
@@ -42,12 +44,32 @@ def email(c: str) -> str:
             f"OR regexp_matches({v}, '\\.(png|jpg|gif|css|js)$') THEN '' ELSE {v} END)")
 
 
+def _let(name: str, value: str, body: str) -> str:
+    """A value that is worked out once, however often the body names it."""
+    return f"list_transform([{value}], lambda {name}: {body})[1]"
+
+
+def _pieces(groups: tuple[int, ...], separator: str) -> str:
+    at, parts = 1, []
+    for size in groups:
+        parts.append(f"its.n[{at}:{at + size - 1 if size else ''}]")
+        at += size
+    return f"rtrim({f' || {chr(39)}{separator}{chr(39)} || '.join(parts)}, '{separator}')"
+
+
 def phone(c: str, p: str) -> str:
     """Columns p_raw … p (value), p_reason, p_type; later ones refer to earlier ones."""
-    plan = " ".join(
-        f"WHEN regexp_matches({p}_num, '{pattern}') THEN regexp_replace({p}_num, '{pattern}', '{out}')"
-        for _, pattern, out in ((a, b, c2.replace("$", "\\")) for a, b, c2, _ in V.NUMBER_PLAN))
-    kind = " ".join(f"WHEN regexp_matches({p}_num, '{pattern}') THEN '{t}'" for _, pattern, _, t in V.NUMBER_PLAN)
+    codes, planned = "|".join(V.COUNTRY_CODES.split()), dict.fromkeys(x[0] for x in V.NUMBER_PLAN)
+    leads = {}  # longest leading digits first
+    for k, (code, tokens, *_) in enumerate(V.NUMBER_PLAN):
+        for token in tokens.split():
+            leads.setdefault((len(re.sub(r"\[.*?\]", "x", token)), k, code), []).append(token)
+    plan = " ".join(f"WHEN regexp_matches(its, '^{code} ({'|'.join(tokens)})') THEN {k}"
+                    for (_, k, code), tokens in sorted(leads.items(), reverse=True))
+    fits = " ".join(f"WHEN {k} THEN length(its.n) BETWEEN {least} AND {most}" for k, (_, _, least, most, *_) in enumerate(V.NUMBER_PLAN))
+    shape = " ".join(f"WHEN {k} THEN {_pieces(groups, '-' if code == '1' else ' ')}" for k, (code, _, _, _, groups, _) in enumerate(V.NUMBER_PLAN))
+    kind = " ".join(f"WHEN {k} THEN '{x[-1]}'" for k, x in enumerate(V.NUMBER_PLAN))
+    low, high = V.OTHER_NUMBERS
     return f"""
  trim(regexp_replace(regexp_replace(split_part(regexp_replace(trim(coalesce({c}, '')), '^\\s*tel\\s*:\\s*', '', 'i'), '?', 1),
    '(?:ext\\.?|extension|durchwahl|dw\\.?|x)\\s*(\\d+)\\s*$', ' ext. \\1', 'i'), '\\s+', ' ', 'g')) AS {p}_raw,
@@ -55,17 +77,19 @@ def phone(c: str, p: str) -> str:
  regexp_replace({p}_raw, ' ext\\. (\\d+)$', '') AS {p}_core, regexp_matches({p}_raw, '^(\\+|00)') AS {p}_intl,
  CASE WHEN {p}_intl THEN regexp_replace(regexp_replace({p}_core, '^00', ''), '[^0-9]', '', 'g')
    ELSE regexp_replace(regexp_replace({p}_core, '[^0-9]', '', 'g'), '^0', '') END AS {p}_nat,
- CASE WHEN {p}_intl THEN regexp_replace({p}_nat, '^(49|43|41|1)0?', '\\1 ') ELSE '49 ' || {p}_nat END AS {p}_num,
- CASE {plan} ELSE '' END AS {p}_plan,
+ CASE WHEN {p}_intl THEN regexp_extract({p}_nat, '^({codes})', 1) ELSE '49' END AS {p}_code,
+ {_let('its', f"{{'c': {p}_code, 'n': {p}_nat, 'i': {p}_intl}}", f"regexp_replace(CASE WHEN its.i THEN its.n[length(its.c) + 1:] ELSE its.n END, CASE WHEN its.c IN ({listed(V.TRUNK_CODES)}) THEN '^0' ELSE '^$' END, '')")} AS {p}_num,
+ {_let('its', f"{p}_code || ' ' || {p}_num", f"CASE {plan} WHEN starts_with(its, ' ') OR split_part(its, ' ', 1) IN ({listed(planned)}) THEN -1 ELSE 1000 END")} AS {p}_plan,
+ {_let('its', f"{{'c': {p}_code, 'n': {p}_num, 'p': {p}_plan}}", f"(its.c <> '1' OR its.n[4:4] >= '2') AND CASE its.p {fits} WHEN 1000 THEN length(its.c || its.n) BETWEEN {low} AND {high} ELSE false END")} AS {p}_fits,
  CASE WHEN {p}_raw = '' THEN 'leer' WHEN length({p}_digits) < 7 THEN 'zu wenige Ziffern oder lokale Nummer ohne Vorwahl'
    WHEN length({p}_digits) > 15 THEN 'zu viele Ziffern'
    WHEN replace({p}_digits, {p}_digits[1:1], '') = '' OR replace({p}_digits, {p}_digits[1:2], '') = '' THEN 'wiederholte Zahlenfolge'
    WHEN regexp_matches({p}_digits, '^(19|20)\\d{{6}}$') OR {p}_digits IN ('0123456789', '9876543210') THEN 'Datum oder technische Zahlenfolge'
    WHEN NOT {p}_intl AND {p}_raw[1:1] <> '0' THEN 'lokale Nummer ohne Vorwahl'
-   WHEN regexp_matches({p}_core, '[^0-9+\\s()./\\\\\\-]') OR ({p}_intl AND NOT regexp_matches({p}_nat, '^(49|43|41|1)')) THEN 'nicht parsebar'
-   WHEN {p}_plan = '' THEN 'ungültige Vorwahl oder Rufnummer' ELSE '' END AS {p}_reason,
- CASE WHEN {p}_reason <> '' THEN '' ELSE {p}_plan || CASE WHEN {p}_ext = '' THEN '' ELSE ' ext. ' || {p}_ext END END AS {p},
- CASE WHEN {p}_reason <> '' THEN 'unknown' ELSE (CASE {kind} END) END AS {p}_type"""
+   WHEN regexp_matches({p}_core, '[^0-9+\\s()./\\\\\\-]') OR {p}_code = '' THEN 'nicht parsebar'
+   WHEN NOT {p}_fits THEN 'ungültige Vorwahl oder Rufnummer' ELSE '' END AS {p}_reason,
+ CASE WHEN {p}_reason <> '' THEN '' ELSE {_let('its', f"{{'c': {p}_code, 'n': {p}_num, 'p': {p}_plan}}", f"'+' || its.c || ' ' || CASE its.p {shape} ELSE its.n END")} || CASE WHEN {p}_ext = '' THEN '' ELSE ' ext. ' || {p}_ext END END AS {p},
+ CASE WHEN {p}_reason <> '' THEN 'unknown' ELSE CASE {p}_plan {kind} ELSE 'other' END END AS {p}_type"""
 
 
 def _parts(p: str) -> str:

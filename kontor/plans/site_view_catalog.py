@@ -47,6 +47,30 @@ query("site_contacts_found", "E17 W6 W7", f"""SELECT base || '/' AS start, '+49
   CASE WHEN {_NOTICE} THEN '01067' ELSE '10115' END AS zipcodes FROM v_site""", "v_site")(_contacts)
 
 
+def _walked(i) -> DataFrame:
+    return enrich.clean_pages(written(pages.parse_pages(tables.scan_pages(load(i.spark, i.sf_dir, "v_walks"))), "parsed"))
+
+
+# The queue from a site's start page: the contact page comes after the legal notice, or is found only through it.
+_QUEUE = """SELECT k, base, unnest(path) AS page, unnest(range(len(path))) AS rank FROM (SELECT k, base, CASE
+  WHEN k % 3 = 0 AND k % 4 <> 1 THEN ['/', '/impressum', '/kontakt/start', '/impressum/en', '/kontakt/berlin']
+  WHEN k % 3 = 0 THEN ['/', '/impressum', '/kontakt/start', '/kontakt/berlin', '/kontakt/hamburg']
+  WHEN k % 4 <> 1 THEN ['/', '/impressum', '/kontakt/start', '/impressum/en', '/kontakt/berlin'] ELSE ['/', '/impressum'] END AS path FROM v_site)"""
+query("site_contact_walk", "E16 O5b", f"SELECT 8 * k AS pos, base || page AS page_url, CAST(rank AS int) AS rank FROM ({_QUEUE})", "v_site")(
+    lambda i: pages.contact_frontier(_walked(i)).filter("pos % 8 = 0").select("pos", "page_url", "rank"))
+
+
+def _walk_contacts(i) -> DataFrame:
+    stored = _walked(i)
+    reached = pages.contact_frontier(stored).filter("pos % 8 = 0").select(F.col("url").alias("start"), F.col("page_url").alias("url"), "rank")
+    bundles = reached.join(pages.contact_candidates(stored).drop("site", "pos"), "url").withColumnRenamed("rank", "pos")
+    return pages.site_contacts(bundles, ["start"]).select("start", "phone", "email")
+
+
+query("site_contact_walk_found", "E16 E17 W6 W7", """SELECT base || '/' AS start, CASE WHEN k % 3 = 0 OR k % 4 <> 1 THEN '+49 30 ' || (400000 + k) ELSE '' END AS phone,
+  CASE WHEN k % 3 = 0 AND k % 4 = 1 THEN 'info@' || host WHEN k % 3 = 0 OR k % 4 <> 1 THEN 'x@' || host ELSE '' END AS email FROM v_site""", "v_site")(_walk_contacts)
+
+
 def _entries(name: str):
     return F.array_join(F.transform(f"{name}.entries", lambda e: F.concat_ws(" ", e["day"], F.array_join(e["periods"], ","), e["closed"].cast("string"))), ";").alias(name)
 

@@ -162,20 +162,30 @@ V_SITE = f"""
 SELECT s_suppkey AS k, {_WS} AS w, 'firma-' || {_WS} || '.de' AS host, 'https://firma-' || {_WS} || '.de' AS base, translate(coalesce(regexp_extract(html, '<title>([^<]*)</title>', 1), ''), '0123456789@+', '') AS title
 FROM supplier LEFT JOIN pages ON s_suppkey = page_id"""
 
+# Per supplier a site whose pages are linked in a chain: start, legal notice, contact page, branch pages.
+V_WALKS = """
+SELECT 8 * k AS page_id, base || '/' AS url, '<title>Start</title><a href="/preise">Preise</a><a href="/impressum">Impressum</a>' || CASE WHEN k % 3 = 0 THEN '<a href="/kontakt/start">Wir</a>' ELSE '' END AS html FROM site
+UNION ALL SELECT 8 * k + 1, base || '/impressum', '<title>Impressum</title><a href="/impressum">Impressum</a><a href="/kontakt/start">So finden Sie uns</a><a href="/impressum/en#top">English</a>' FROM site WHERE k % 4 <> 1
+UNION ALL SELECT 8 * k + 2, base || '/kontakt/start', '<title>Kontakt</title><a href="/">Start</a><a href="mailto:x@' || host || '">Kontakt</a><a href="kontakt/berlin">Berlin</a><a href="/impressum">Impressum</a><a href="kontakt/hamburg">Hamburg</a><a href="kontakt/koeln">Kontakt</a>' FROM site
+UNION ALL SELECT 8 * k + 3, base || '/kontakt/berlin', '<title>Berlin</title><p>Telefon: 030 ' || cast(400000 + k as string) || '</p>' FROM site
+UNION ALL SELECT 8 * k + 4, base || '/kontakt/hamburg', '<title>Hamburg</title><a href="mailto:info@' || host || '">m</a>' FROM site
+UNION ALL SELECT 8 * k + 5, base || '/kontakt/koeln', '<title>Köln</title><p>Telefon: 0221 ' || cast(400000 + k as string) || '</p>' FROM site"""
+
 VIEWS = {  # in dependency order
     "v_customers": V_CUSTOMERS, "v_import": V_IMPORT, "v_companies": V_COMPANIES, "v_activities": V_ACTIVITIES,
     "v_results": V_RESULTS, "v_paired": V_PAIRED, "v_enrichments": V_ENRICHMENTS, "v_candidates": V_CANDIDATES,
     "v_site": V_SITE, "v_sites": V_SITES.replace("FROM site", "FROM v_site"),
+    "v_walks": V_WALKS.replace("FROM site", "FROM v_site"),
 }
 _NEEDS = {"v_import": ("v_customers",), "v_activities": ("v_companies",), "v_results": ("v_customers",),
-          "v_paired": ("v_results",), "v_enrichments": ("v_companies",), "v_sites": ("v_site",)}
+          "v_paired": ("v_results",), "v_enrichments": ("v_companies",), "v_sites": ("v_site",), "v_walks": ("v_site",)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a domain view as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name] if name in ("v_enrichments", "v_sites") else VIEWS[name].replace('"', "`")
+    text = VIEWS[name] if name in ("v_enrichments", "v_sites", "v_walks") else VIEWS[name].replace('"', "`")
     text = text.replace("{", "{{").replace("}", "}}")
     sources = {t: load(spark, sf_dir, t) for t in (*TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
     for source in sources:

@@ -156,38 +156,97 @@ MERGE_FIELDS = ("website", "phone", "email", "owner", "status", "source", "last_
 MERGE_NOT_CONFLICTING = ("tags", "notes", "last_contact_at", "next_follow_up_at")
 NOTES_SEPARATOR = "\n\n--- Zusammengeführt ---\n\n"
 
-# --- fixed values: numbering plan, (country code, national pattern, grouping, type) --
-# Patterns run over "<country code> <national significant number>", first hit wins.
+# --- fixed values: numbering plans ---------------------------------------------------
+# Country codes as ITU-T assigns them (E.164), [..] stands for one of several digits.
+COUNTRY_CODES = (
+    "1 7 20 27 3[0-469] 4[013-9] 5[1-8] 6[0-6] 8[1246] 9[0-58] 21[12368] 22[0-9] 23[0-9] 24[0-9] 25[0-8] 26[0-9] 29[01789] "
+    "35[0-9] 37[0-9] 38[0-35-79] 42[013] 50[0-9] 59[0-9] 67[02-9] 68[0-35-9] 69[0-2] 80[08] 85[02356] 88[06] 96[0-8] 97[0-7] 99[2-68]")
+# Countries whose national numbers are dialled with a leading 0 that does not belong to the number.
+TRUNK_CODES = ("49", "43", "41", "33", "31", "32", "44", "46")
+TRUNK_REGIONS = {"DE": "49", "AT": "43", "CH": "41"}
+# National plans as the countries' regulators publish them: country, leading digits (all of one length in a row), least
+# and most digits of the national number, group sizes (0: the rest), kind. The longest leading digits count.
 NUMBER_PLAN = (
-    ("49", r"^49 (1[67]\d)(\d{7,8})$", "+49 $1 $2", "mobile"),
-    ("49", r"^49 (15\d{2})(\d{7})$", "+49 $1 $2", "mobile"),
-    ("49", r"^49 (800)(\d{7})$", "+49 $1 $2", "hotline"),
-    ("49", r"^49 (180)([1-7])(\d{4,7})$", "+49 $1 $2 $3", "hotline"),
-    ("49", r"^49 (900)([135])(\d{6})$", "+49 $1 $2 $3", "hotline"),
-    ("49", r"^49 (700)(\d{8})$", "+49 $1 $2", "other"),
-    ("49", r"^49 (32)(\d{9})$", "+49 $1 $2", "other"),
-    ("49", r"^49 (30|40|[68]9)(\d{3,9})$", "+49 $1 $2", "fixed"),
-    ("49", r"^49 (2(?:0[1-389]|1[124]|2[18]|3[14])|3(?:[35-9][15]|4[015])|906"
-           r"|(?:2[4-9]|4[2-9]|[579][1-9]|[68][1-8])1)(\d{3,8})$", "+49 $1 $2", "fixed"),
-    ("49", r"^49 (3(?:3(?:0[1-467]|2[127-9]|3[124578]|7[1257-9]|8[1256]|9[145])"
-           r"|4(?:2[135]|4[13578]|9[1346])|5(?:0[14]|2[1-3589]|6[1-4]|7[13468]|8[13568])"
-           r"|6(?:2[1-489]|3[124-6]|6[13]|7[12579]|8[1-356]|9[135])|7(?:2[1-7]|4[145]|6[1-5]|7[1-4])"
-           r"|8(?:21|3[1468]|6\d|7[1467]|8[136])|9(?:0[12479]|2[1358]|4[134679]|6[1-9]|7[136]|8[147]|9[1468])))"
-           r"(\d{2,8})$", "+49 $1 $2", "fixed"),
-    ("49", r"^49 (3\d{4})(\d{2,7})$", "+49 $1 $2", "fixed"),
-    ("49", r"^49 ([24-9]\d{3})(\d{2,8})$", "+49 $1 $2", "fixed"),
-    ("43", r"^43 (6(?:4|5[0-3579]|[6-9]\d)\d?)(\d{6,8})$", "+43 $1 $2", "mobile"),
-    ("43", r"^43 (800|900|930|810|820)(\d{6,10})$", "+43 $1 $2", "hotline"),
-    ("43", r"^43 (1)(\d{5,12})$", "+43 $1 $2", "fixed"),
-    ("43", r"^43 (316|463|512|662|732)(\d{4,10})$", "+43 $1 $2", "fixed"),
-    ("43", r"^43 ([2-7]\d{3})(\d{3,9})$", "+43 $1 $2", "fixed"),
-    ("41", r"^41 (7[5-9])(\d{3})(\d{2})(\d{2})$", "+41 $1 $2 $3 $4", "mobile"),
-    ("41", r"^41 (800|84[0248]|90[016])(\d{3})(\d{3})$", "+41 $1 $2 $3", "hotline"),
-    ("41", r"^41 ([2-6]\d|81|91)(\d{3})(\d{2})(\d{2})$", "+41 $1 $2 $3 $4", "fixed"),
-    ("1", r"^1 (8(?:00|33|44|55|66|77|88)|900)([2-9]\d{2})(\d{4})$", "+1 $1-$2-$3", "hotline"),
-    ("1", r"^1 ([2-9]\d{2})([2-9]\d{2})(\d{4})$", "+1 $1-$2-$3", "fixed"),
+    ("49", "15[0-9][0-9]", 11, 11, (4, 0), "mobile"),
+    ("49", "16[0-9] 17[0-9]", 10, 11, (3, 0), "mobile"),
+    ("49", "800", 10, 10, (3, 0), "hotline"),
+    ("49", "180[1-7]", 8, 11, (3, 1, 0), "hotline"),
+    ("49", "900[135]", 10, 10, (3, 1, 0), "hotline"),
+    ("49", "700", 11, 11, (3, 0), "other"),
+    ("49", "32", 11, 11, (2, 0), "other"),
+    ("49", "30 40 69 89", 5, 11, (2, 0), "fixed"),
+    ("49", "20[1-389] 21[124] 22[18] 23[14] 3[35-9][15] 34[015] 906 2[4-9]1 4[2-9]1 [579][1-9]1 [68][1-8]1", 6, 11, (3, 0), "fixed"),
+    ("49", "330[1-467] 332[127-9] 333[124578] 337[1257-9] 338[1256] 339[145] 342[135] 344[13578] 349[1346] 350[14] 352[1-3589] "
+           "356[1-4] 357[13468] 358[13568] 362[1-489] 363[124-6] 366[13] 367[12579] 368[1-356] 369[135] 372[1-7] 374[145] "
+           "376[1-5] 377[1-4] 3821 383[1468] 386[0-9] 387[1467] 388[136] 390[12479] 392[1358] 394[134679] 396[1-9] 397[136] "
+           "398[147] 399[1468]", 6, 12, (4, 0), "fixed"),
+    ("49", "3", 7, 12, (5, 0), "fixed"),
+    ("49", "[24-9]", 6, 12, (4, 0), "fixed"),
+    ("43", "64[0-9] 65[0-3579] 66[013-9] 6[7-9][0-9]", 7, 13, (3, 0), "mobile"),
+    ("43", "800 810 820 900 930", 9, 13, (3, 0), "hotline"),
+    ("43", "1", 6, 13, (1, 0), "fixed"),
+    ("43", "316 463 512 662 732", 7, 13, (3, 0), "fixed"),
+    ("43", "[2-7]", 7, 13, (4, 0), "fixed"),
+    ("41", "7[5-9]", 9, 9, (2, 3, 2, 2), "mobile"),
+    ("41", "800 84[0248] 90[016]", 9, 9, (3, 3, 3), "hotline"),
+    ("41", "81 91", 9, 9, (2, 3, 2, 2), "fixed"),
+    ("41", "[2-6]", 9, 9, (2, 3, 2, 2), "fixed"),
+    ("1", "800 833 844 855 866 877 888 900", 10, 10, (3, 3, 4), "hotline"),
+    ("1", "[2-9]", 10, 10, (3, 3, 4), "fixed"),
+    ("33", "[1-5]", 9, 9, (1, 2, 2, 2, 2), "fixed"),
+    ("33", "[67]", 9, 9, (1, 2, 2, 2, 2), "mobile"),
+    ("33", "8", 9, 9, (3, 2, 2, 2), "hotline"),
+    ("33", "9", 9, 9, (1, 2, 2, 2, 2), "other"),
+    ("39", "02 06", 6, 11, (2, 4, 0), "fixed"),
+    ("39", "0", 6, 11, (3, 0), "fixed"),
+    ("39", "3", 9, 10, (3, 3, 0), "mobile"),
+    ("39", "80", 6, 9, (3, 0), "hotline"),
+    ("34", "[89]", 9, 9, (3, 2, 2, 2), "fixed"),
+    ("34", "[89]0", 9, 9, (3, 3, 3), "hotline"),
+    ("34", "6 7", 9, 9, (3, 2, 2, 2), "mobile"),
+    ("31", "6", 9, 9, (1, 0), "mobile"),
+    ("31", "1[035] 2[0346] 3[03568] 4[0356] 5[0358] 7[0-9]", 9, 9, (2, 3, 4), "fixed"),
+    ("31", "[1-57]", 9, 9, (3, 3, 3), "fixed"),
+    ("31", "800 90[0-9]", 7, 10, (3, 0), "hotline"),
+    ("31", "8[58]", 9, 9, (2, 3, 4), "other"),
+    ("32", "4[5-9]", 9, 9, (3, 2, 2, 2), "mobile"),
+    ("32", "4[0-4]", 8, 8, (1, 3, 2, 2), "fixed"),
+    ("32", "2 3 9", 8, 8, (1, 3, 2, 2), "fixed"),
+    ("32", "1 5 6 7 8", 8, 8, (2, 2, 2, 2), "fixed"),
+    ("32", "800 90[0-9]", 8, 8, (3, 2, 3), "hotline"),
+    ("352", "6[2-9]1", 9, 9, (3, 3, 3), "mobile"),
+    ("352", "[2-9]", 5, 11, (2, 2, 0), "fixed"),
+    ("352", "800 90[015]", 8, 8, (3, 0), "hotline"),
+    ("44", "20", 10, 10, (2, 4, 4), "fixed"),
+    ("44", "2[3489]", 10, 10, (2, 4, 4), "fixed"),
+    ("44", "11[3-8] 1[2-69]1", 10, 10, (3, 3, 4), "fixed"),
+    ("44", "1", 9, 10, (4, 0), "fixed"),
+    ("44", "7[1-57-9]", 10, 10, (4, 6), "mobile"),
+    ("44", "3", 10, 10, (3, 3, 4), "other"),
+    ("44", "8 9", 9, 10, (3, 3, 0), "hotline"),
+    ("48", "45 5[0137] 6[069] 7[2389] 88", 9, 9, (3, 3, 3), "mobile"),
+    ("48", "[1-9]", 9, 9, (2, 3, 2, 2), "fixed"),
+    ("48", "80[01]", 9, 9, (3, 3, 3), "hotline"),
+    ("420", "60 7[02379]", 9, 9, (3, 3, 3), "mobile"),
+    ("420", "[2-5]", 9, 9, (3, 3, 3), "fixed"),
+    ("420", "8 9", 9, 9, (3, 3, 3), "hotline"),
+    ("45", "80 90", 8, 8, (2, 2, 2, 2), "hotline"),
+    ("45", "[2-9]", 8, 8, (2, 2, 2, 2), "fixed"),
+    ("46", "7[02369]", 9, 9, (2, 3, 2, 2), "mobile"),
+    ("46", "8", 7, 9, (1, 3, 3, 0), "fixed"),
+    ("46", "[1-69]", 7, 9, (2, 3, 0), "fixed"),
+    ("47", "[49]", 8, 8, (3, 2, 3), "mobile"),
+    ("47", "[235-7]", 8, 8, (2, 2, 2, 2), "fixed"),
+    ("47", "80 82", 8, 8, (3, 2, 3), "hotline"),
+    ("351", "2", 9, 9, (3, 3, 3), "fixed"),
+    ("351", "9[1236]", 9, 9, (3, 3, 3), "mobile"),
+    ("351", "80", 9, 9, (3, 3, 3), "hotline"),
+    ("36", "1", 8, 8, (1, 3, 4), "fixed"),
+    ("36", "20 3[01] 50 70", 9, 9, (2, 3, 4), "mobile"),
+    ("36", "[2-9]", 8, 8, (2, 3, 3), "fixed"),
 )
-TRUNK_REGIONS = {"DE": "49", "AT": "43", "CH": "41"}
+# Any other assigned code: digits of country code and national number together.
+OTHER_NUMBERS = (7, 15)
 
 # Words of a legal notice, of written opening hours and of descriptions.
 ROLE_WORDS = {
