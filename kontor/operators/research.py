@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import functools
+import operator
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -14,6 +16,7 @@ from kontor.functions import text as T
 from kontor.functions import web as U
 from kontor.operators.common import ROW_NO, attach, first_column, keep_where, nth_of_key, one_per_key, one_row, present, total
 from kontor.operators.filters import is_current
+from kontor.session import checkpointed
 
 RESULT_COLUMNS = {"WEBSITE": "website", "TELEFON": "phone", "EMAIL": "email", "STATUS": "status",
                   "SOURCE": "source", "LAST_CHECK": "last_check"}
@@ -66,24 +69,33 @@ def _with_tier(results: DataFrame, keyed: DataFrame, tiers: Sequence[Sequence[st
     return tagged.withColumn("__tier", tier)
 
 
+def _addresses(rows: DataFrame, tiers: Sequence[Sequence[str]], carried: Sequence[str]) -> DataFrame:
+    """One row per address of a row: the carried columns, the tier and the tier's key as one text."""
+    entry = lambda i, tier: F.when(
+        functools.reduce(operator.and_, [F.col(c).isNotNull() for c in tier]),
+        F.struct(F.lit(i).alias("__tier"), F.concat_ws("\x1f", F.lit(str(i)), *tier).alias("__address")))
+    found = F.explode(F.array_compact(F.array(*[entry(i, tier) for i, tier in enumerate(tiers)])))
+    return rows.select(*carried, found.alias("__at")).select(*carried, "__at.*")
+
+
 def match_results(customers: DataFrame, results: DataFrame, values: Column, *, use_street: bool) -> DataFrame:
     """Customers with ``__hit``: (result_no, values) of the latest result that addresses the row.
 
     A result addresses all rows with its id; if there is none, all rows with its key and street; if there
-    is none, all rows with its key.
+    is none, all rows with its key. All tiers are addresses of one slim table: results keep the least tier
+    that a customer has, each address its latest result, each row its latest address; the wide customer rows
+    move once, at the end.
     """
     keyed = _keyed_customers(customers, use_street)
     tiers = _tiers(keyed, use_street)
-    tagged = _with_tier(_keyed_results(results, tiers), keyed, tiers)
-    picked = F.struct(F.col("result_no"), values.alias("values"))
-    for i, tier in enumerate(tiers):
-        winners = tagged.filter(F.col("__tier") == i).groupBy(*tier).agg(
-            F.max_by(picked, "result_no").alias(f"__win{i}"))
-        keyed = attach(keyed, winners, tier)
-    hits = F.array_compact(F.array(*[F.col(f"__win{i}") for i in range(len(tiers))]))
-    latest = F.array_max(F.transform(hits, lambda h: h["result_no"]))
-    return keyed.withColumn("__hit", F.try_element_at(F.filter(hits, lambda h: h["result_no"] == latest), F.lit(1))).drop(
-        *[f"__win{i}" for i in range(len(tiers))])
+    mine = checkpointed(_addresses(keyed, tiers, [ROW_NO]).drop("__tier"))
+    owner = ["result_no", "__key", "customer_id", "street"] if "street" in results.columns else ["result_no", "__key", "customer_id"]
+    theirs = _addresses(_keyed_results(results, tiers).withColumn("__picked", F.struct("result_no", values.alias("values"))), tiers, [*owner, "__picked"])
+    known = attach(theirs, mine.select("__address").distinct(), ["__address"], "inner")
+    chosen = known.groupBy(*owner).agg(F.min_by(F.struct("__address", "__picked"), "__tier").alias("chosen")).select("chosen.*")
+    winners = chosen.groupBy("__address").agg(F.max_by("__picked", "__picked.result_no").alias("__hit"))
+    hits = attach(mine, winners, ["__address"], "inner").groupBy(ROW_NO).agg(F.max_by("__hit", "__hit.result_no").alias("__hit"))
+    return customers.join(hits, ROW_NO, "left")
 
 
 def apply_results(customers: DataFrame, results: DataFrame, now: str | None = None) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kontor.operators import enrich, imprint, pages
+from kontor.operators import enrich, imprint, pages, refresh
 from kontor.plans.catalog import query
 from kontor.plans.views import load
 from kontor.session import written
@@ -123,3 +123,34 @@ def _failures(i) -> DataFrame:
 
 
 query("site_failures", "E22 X25", "SELECT k AS result_no, 'Fehler' AS enrichment_status, true AS has_reason, k % 2 = 0 AS is_document FROM v_site", "v_site")(_failures)
+
+
+# ------------------------------------------------------------------ repeated analysis
+def _requested(i) -> DataFrame:
+    site = load(i.spark, i.sf_dir, "v_site")
+    website = F.when(F.col("k") % 50 == 7, F.concat("base", F.lit("/preise.pdf"))).when(F.col("k") % 50 == 11, "https://nicht-da.de").otherwise(F.col("base"))
+    return site.select(F.col("k").alias("result_no"), F.concat(F.lit("Firma "), "w").alias("company"), F.lit("Berlin").alias("city"), website.alias("website"), F.col("k").alias("customer_id"))
+
+
+def _second_run(i, changed, **options) -> DataFrame:
+    """The analysis of all sites, then again ten days later, over the pages as ``changed`` left them."""
+    stored = tables.scan_pages(load(i.spark, i.sf_dir, "v_sites"))
+    first = written(refresh.refresh_analysis(_requested(i), stored, None, "2024-01-20"), "analysis")
+    again = refresh.refresh_analysis(_requested(i), changed(stored), refresh.stored_results(first), "2024-01-30", **options)
+    return again.select("result_no", F.coalesce("result.from_cache", F.lit(False)).alias("from_cache"), F.col("result.enrichment_status").alias("enrichment_status"),
+                        F.col("result.website_score").alias("website_score"), F.col("result.analyzed_at").alias("analyzed_at"), F.col("result.website_title").alias("website_title"))
+
+
+def _expected(cached: str) -> str:
+    fine = "k % 50 NOT IN (7, 11)"
+    return f"""SELECT k AS result_no, {cached} AS from_cache, CASE WHEN {fine} THEN 'Erfolgreich' ELSE 'Fehler' END AS enrichment_status, CASE WHEN {fine} THEN {_POINTS} END::int AS website_score,
+  CASE WHEN {cached} THEN '2024-01-20' ELSE '2024-01-30' END AS analyzed_at, CASE WHEN {fine} THEN 'Bäckerei ' || w || CASE WHEN {cached} THEN '' ELSE {{new}} END END AS website_title FROM v_site"""
+
+
+_RETITLED = lambda p: p.withColumn("html", F.when((F.col("pos") % 40 == 12), F.replace("html", F.lit("</title>"), F.lit(" neu</title>"))).otherwise(F.col("html")))
+query("analysis_second_run", "E22 F20", _expected("(k % 50 <> 7)").replace("{new}", "''"), "v_site")(lambda i: _second_run(i, lambda p: p))
+query("analysis_forced", "E22 F20", _expected("false").replace("{new}", "''"), "v_site")(lambda i: _second_run(i, lambda p: p, force_refresh=True))
+query("analysis_changed_sites", "E22 F20", _expected("(k % 50 <> 7 AND (k % 10 <> 3 OR k % 50 = 11))").replace("{new}", "' neu'"), "v_site")(lambda i: _second_run(i, _RETITLED))
+# A page that no start page links to, or one that is gone (the privacy page, ten points), changes a site; the order of its pages does not.
+query("analysis_pages_come_and_go", "E22 F20", _expected("(k % 50 <> 7 AND (k % 50 = 11 OR (k % 6 <> 1 AND k % 6 <> 2)))").replace("{new}", "''").replace(_POINTS, f"{_POINTS} - CASE WHEN k % 6 = 1 THEN 10 ELSE 0 END"), "v_site")(
+    lambda i: _second_run(i, lambda p: p.filter("NOT (pos % 24 = 7)").unionByName(p.filter("pos % 24 = 8").withColumns({"url": F.concat("url", F.lit("karriere")), "html": F.lit("<p>Stellen</p>")})).orderBy(F.desc("pos"))))
