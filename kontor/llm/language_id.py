@@ -30,6 +30,8 @@ BUCKETS = 1 << BUCKET_BITS
 #: Labelled rows learned from, landmarks among them, languages (those with most rows) that are learned from fewer rows, too, rows per language.
 TRAIN_ROWS, LANDMARKS, LANGUAGES, LEAST_ROWS = 4096, 512, 256, 16
 RIDGE = 1e-3
+#: Parts in which the rows of one language are ranked first.
+RANK_PARTS = 256
 #: Characters of text that are turned into n-grams at once.
 STEP_CHARS = 1 << 18
 #: Row bound of one presence matrix.
@@ -37,8 +39,9 @@ STEP_TEXTS = 128
 
 
 def _letter_runs(texts: pa.Array) -> pa.Array:
-    """Lower-case texts with everything but letters made one space, and a space at both ends."""
+    """Lower-case texts with everything but letters and their marks made one space, and a space at both ends."""
     spaced = pc.replace_substring_regex(pc.utf8_lower(texts), r"[^\pL\pM]+", " ")
+    spaced = pc.if_else(pc.match_substring_regex(texts, r"\pL"), spaced, "")  # marks without any letter are no language
     none, space = pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())
     return pc.binary_join_element_wise(none, pc.utf8_trim(spaced, " "), none, space)
 
@@ -135,12 +138,17 @@ def training_rows(docs: DataFrame, text: str, key: str, language: str, rows: int
     common = set(counts.filter(F.col("count") >= LEAST_ROWS).collect()) | set(counts.orderBy(F.desc("count"), "language").limit(LANGUAGES).collect())
     names, count = sorted(r.language for r in common), len(common)
     each = max(LEAST_ROWS, rows // max(1, count))
-    rank = W.partitionBy("language").orderBy(F.md5(F.coalesce("id", F.lit("")).cast("binary")), "id")
-    ids = known.filter(F.col("language").isin(names)).withColumn("n", F.row_number().over(rank)).filter(F.col("n") <= each)
+    # first within groups of input partitions, then over the few rows these leave: no task ranks a whole language
+    order = [F.md5(F.coalesce("id", F.lit("")).cast("binary")), F.col("id")]
+    ids = known.filter(F.col("language").isin(names)).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(RANK_PARTS)))
+    for keys in (["language", "part"], ["language"]):
+        ids = ids.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= each)
     # at most rows + LEAST_ROWS x languages ids: small by construction
     wanted = F.broadcast(ids.select(F.col("id").alias("__id"), F.col("language").alias("__language")).distinct())
     texts = docs.select(F.col(key).cast("string").alias("id"), F.col(language).cast("string").alias("language"), F.col(text).alias("text")).join(
         wanted, F.col("id").eqNullSafe(F.col("__id")) & (F.col("language") == F.col("__language")), "left_semi").filter(F.col("text").isNotNull())
+    # an id that several rows bear stands for one of them, always the same
+    texts = texts.groupBy("id", "language").agg(F.min_by("text", F.md5(F.col("text").cast("binary"))).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -150,11 +158,11 @@ def training_rows(docs: DataFrame, text: str, key: str, language: str, rows: int
                 yield pa.RecordBatch.from_arrays(
                     [part.column("id"), part.column("language"), pa.array([x.tobytes() for x in have], pa.binary())], ["id", "language", "bits"])
 
-    return texts.mapInArrow(run, "id string, language string, bits binary").limit(2 * (rows + LEAST_ROWS * count))
+    return texts.mapInArrow(run, "id string, language string, bits binary")
 
 
 def trained(docs: DataFrame, text: str = "text", key: str = "doc_id", language: str = "lang", rows: int = TRAIN_ROWS) -> Model:
-    """Fit on a bounded sample: at most ``2 * (rows + LEAST_ROWS * languages)`` packed presence vectors (4 kB each) reach the driver."""
+    """Fit on a bounded sample: at most ``rows + LEAST_ROWS * languages`` packed presence vectors (4 kB each) reach the driver."""
     sample = sorted(training_rows(docs, text, key, language, rows).collect(), key=lambda r: (r.language, r.id or "", bytes(r.bits)))
     return fit([bytes(r.bits) for r in sample], [r.language for r in sample])
 
