@@ -124,10 +124,13 @@ def _candidates(digests: DataFrame) -> DataFrame:
         "digest", F.col("best.doc_id").alias("own_id"), (-F.col("best.short")).alias("own_length"), "own_rows")
 
 
-def history_index(digests: DataFrame, shard_keys: int = SHARD_KEYS) -> tuple[DataFrame, int]:
-    """The perfect hash of all distinct digests, one row per shard, and the number of shards."""
+def history_index(digests: DataFrame, shard_keys: int = SHARD_KEYS, asked_rows: int = 0) -> tuple[DataFrame, int]:
+    """The perfect hash of all distinct digests, one row per shard, and the number of shards.
+
+    ``asked_rows`` is how many digests will be looked up at most: a short history is spread as wide as these need.
+    """
     members = stored(_candidates(digests), "members")
-    shards = max(1, math.ceil(members.count() / shard_keys))
+    shards = max(1, math.ceil(max(members.count(), asked_rows) / shard_keys))
     dealt = members.withColumn("shard", F.pmod(F.xxhash64("digest"), F.lit(shards)))
     return stored(dealt.groupBy("shard").applyInPandas(_build, _INDEX), "digest-index"), shards
 
@@ -148,7 +151,7 @@ def exact_groups(docs: DataFrame, history: DataFrame | None = None, text: str =
     it has are repeats. Without it, the table is its own history.
     """
     own = stored(text_digests(docs, text, key), "digests")
-    index, shards = history_index(own if history is None else text_digests(history, text, key))
+    index, shards = history_index(own) if history is None else history_index(text_digests(history, text, key), asked_rows=own.count())
     verdict = looked_up(own, index, shards)
     kept = F.col("doc_id").eqNullSafe(F.col("keep_id"))
     if history is not None:
