@@ -1,11 +1,12 @@
 """Mixing sources to target weights by a time-varying curriculum, in DataFrame functions only.
 
 A source's demand is the integral of its weight schedule over training time 0..1, scaled to its target. Its documents
-form a queue in the order of a digest of their ids, gone through up to ``repeats`` times. Inverting the cumulative
+form a queue in the order of a digest of their ids and texts, gone through up to ``repeats`` times. Inverting the cumulative
 demand gives every copy of a document its training position, and the range sort by position is the training order.
 
 Word counts are sizes. Null texts have size 0 and are taken 0 times. Null sources are a source of their own, last in
-order. Ties in the queue (equal ids) go by text digest; rows alike in both are interchangeable. An empty table gives
+order. Null and equal ids spread over the queue by
+their texts; rows alike in both are interchangeable. An empty table gives
 an empty result. Only named columns are read, so others cannot clash.
 """
 
@@ -67,11 +68,11 @@ def training_time(share: Column, w0: Column, w1: Column) -> Column:
 
 def _queued(docs: DataFrame, text: str, key: str, source: str) -> DataFrame:
     """The rows with their size and their place in the source's queue, original columns in the struct ``row``."""
+    digest = F.md5(text_of(text).cast("binary"))
     return docs.select(
         F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("doc_id"),
         F.col(source).cast("string").alias("source"),
-        F.md5(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")).alias("place"),
-        F.md5(text_of(text).cast("binary")).alias("digest"), word_count(text_of(text)).alias("size")).withColumn(
+        F.md5(F.concat(F.coalesce(F.col(key).cast("string"), F.lit("")), digest).cast("binary")).alias("place"), digest.alias("digest"), word_count(text_of(text)).alias("size")).withColumn(
         "slice", F.substring("place", 1, SLICE_DIGITS))
 
 

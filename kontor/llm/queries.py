@@ -130,7 +130,7 @@ _WORDS_OF = "string_split(trim(regexp_replace({}, '[^a-z0-9]+', ' ', 'g')), ' ')
 SQL: dict[str, str] = {
     "op4_mixing": f"""
         WITH sized AS (
-          SELECT doc_id, source, {_SIZE} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS place, md5(coalesce(text, '')) AS digest
+          SELECT doc_id, source, {_SIZE} AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || md5(coalesce(text, ''))) AS place, md5(coalesce(text, '')) AS digest
           FROM documents),
         totals AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, row_number() OVER (ORDER BY source NULLS LAST) - 1 AS number
                    FROM sized GROUP BY source),
