@@ -88,7 +88,7 @@ def mixed(rows, repeats=3):
         sizes[source] += len(words(text))
     goal = {s: math.floor(t + 0.5) for s, t in targets(dict(sizes), repeats).items()}
     at, out = collections.Counter(), []
-    for key, text, source in sorted(rows, key=lambda r: (md5("" if r[0] is None else str(r[0])), md5(r[1] or ""))):
+    for key, text, source in sorted(rows, key=lambda r: md5(("" if r[0] is None else str(r[0])) + md5(r[1] or ""))):
         n = len(words(text))
         copies = [max(0, min(n, goal[source] - at[source] - turn * sizes[source])) for turn in range(repeats)]
         out.append((key, text, source, [c for c in copies if c]))
