@@ -13,8 +13,8 @@ from kontor.operators.common import nth_of_key, with_row_no
 from kontor.plans import oracle as O
 from kontor.plans.catalog import _as_customers, query
 from kontor.plans.views import NOW
-from kontor.session import written
-from kontor.sources import tables
+from kontor.session import fresh_path, written
+from kontor.sources import snapshots, tables
 from kontor.streaming import streams
 
 # ------------------------------------------------------------------ research results
@@ -151,6 +151,38 @@ def _company_changes(i) -> DataFrame:
     return orders.join(named, "id").select("result_no", "city", "status", F.concat(F.when(F.col("result_no") % 3 == 0, "Neu ").otherwise(""), "company_name").alias("company_name"))
 
 
+
+
+def _bucketed(i) -> str:
+    """The companies in buckets, after a change of one key in a hundred and a few new companies."""
+    folder = fresh_path(i.spark, "companies")
+    snapshots.create(i.companies, folder, ["company_name", "city"])
+    old = i.companies.filter("id % 97 = 0").select("company_name", "city", F.concat(F.lit("X"), F.col("id").cast("string")).alias("status"))
+    new = i.companies.filter("id % 193 = 0").select(F.concat(F.lit("Neu "), "company_name").alias("company_name"), "city", F.lit("Y").alias("status"))
+    snapshots.upsert(i.spark, folder, old.unionByName(new), ["company_name", "city"], ["status"], NOW)
+    return folder
+
+
+_CHANGED = "(SELECT company_name, city FROM v_companies WHERE id % 97 = 0 UNION ALL SELECT 'Neu ' || company_name, city FROM v_companies WHERE id % 193 = 0)"
+_BUCKET = "CAST('0x' || md5(company_name || chr(31) || city)[1:8] AS bigint) % 64"
+query("upsert_buckets", "SK7", f"""SELECT id, CASE WHEN id % 97 = 0 THEN 'X' || id ELSE status END AS status, tags, CASE WHEN id % 97 = 0 THEN '{NOW}' ELSE updated_at END AS updated_at FROM v_companies
+  UNION ALL SELECT (SELECT max(id) FROM v_companies) + row_number() OVER (ORDER BY 'Neu ' || company_name, city), 'Y', '', '{NOW}' FROM v_companies WHERE id % 193 = 0""", "v_companies")(
+    lambda i: snapshots.read(i.spark, _bucketed(i)).select("id", "status", "tags", "updated_at"))
+query("upsert_buckets_touched", "SK7", f"""SELECT CAST(b AS int) AS bucket, CASE WHEN b IN (SELECT {_BUCKET} FROM {_CHANGED}) THEN 1 ELSE 0 END::bigint AS version, count(*) AS rows FROM (
+  SELECT {_BUCKET} AS b FROM v_companies UNION ALL SELECT {_BUCKET} FROM {_CHANGED} WHERE starts_with(company_name, 'Neu ')) GROUP BY b""", "v_companies")(
+    lambda i: snapshots.manifest(i.spark, _bucketed(i)).select("bucket", "version", "rows"))
+
+
+def _stale_in_buckets(i) -> DataFrame:
+    folder = fresh_path(i.spark, "enrichments")
+    snapshots.create(i.enrichments, folder, ["company_key"])
+    snapshots.mark_stale(i.spark, folder, i.enrichments.filter("company_id % 111 = 0"), NOW)
+    return snapshots.read(i.spark, folder).select("company_key", "enrichment_status")
+
+
+query("mark_stale_buckets", "SK12", "SELECT company_key, CASE WHEN company_id % 111 = 0 THEN 'Veraltet' ELSE enrichment_status END AS enrichment_status FROM v_enrichments", "v_enrichments")(_stale_in_buckets)
+
+
 query("save_enrichment", "SK6", f"""SELECT company_key, website_score, industry, has_imprint, has_social_media, CASE WHEN company_id % 2 = 0 THEN '{NOW}' END AS updated_at FROM (SELECT company_key, company_id, website_score, CASE WHEN company_id % 2 = 0 THEN 'Hotel' ELSE industry END AS industry, has_imprint, has_social_media FROM v_enrichments)""", "v_enrichments")(
     lambda i: tables.save_enrichment(i.enrichments.withColumn("updated_at", F.lit(None).cast("string")), tables.decode_enrichments(i.enrichments.filter("company_id % 2 = 0")).select(
         F.col("result").withField("company_key", F.col("company_key")).alias("result")), NOW).select("company_key", "website_score", "industry", "has_imprint", "has_social_media", "updated_at"))
@@ -258,7 +290,15 @@ query("stream_latest_by_key", "T-2", "SELECT user_id, max(event_id) AS event_id
 
 
 def _latest(i) -> DataFrame:
-    return _drained(i, "events", lambda s: streams.stream_latest_by_key(s.select("user_id", "event_id", "event_type"), ["user_id"], "event_id").select("user_id", "event_id"), "complete")
+    """Events arrive in two lots; the second lot changes the keys it has and leaves the others as the first lot left them."""
+    source, table, log = (fresh_path(i.spark, name) for name in ("events", "latest", "latest-log"))
+    events = i.events.select(F.col("user_id").cast("string").alias("user_id"), "event_id", "event_type")
+    snapshots.create(events.limit(0), table, ["user_id"])
+    for part in ("event_id % 3 > 0", "event_id % 3 = 0"):
+        events.filter(part).write.mode("append").parquet(source)
+        stream = i.spark.readStream.schema(events.schema).parquet(source)
+        streams.keep_latest(stream, ["user_id"], "event_id", table).option("checkpointLocation", log).trigger(availableNow=True).start().awaitTermination()
+    return snapshots.read(i.spark, table).select(F.col("user_id").cast("long").alias("user_id"), "event_id")
 
 
 def _order_changes(s: DataFrame) -> DataFrame:

@@ -151,11 +151,12 @@ def latest_per_key(changes: DataFrame, keys: Sequence[str], *order: str) -> Data
 
 
 def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], overwrite: Sequence[str], now: str,
-           order: str | None = None) -> DataFrame:
+           order: str | None = None, known_ids: DataFrame | None = None) -> DataFrame:
     """Insert or overwrite by key; id, created_at and unlisted columns survive (SK7).
 
     Listed columns are overwritten even with blanks. The latest change per key wins by ``order``; without one, and
-    among equals, the greatest values win, so that a key never has two changes.
+    among equals, the greatest values win, so that a key never has two changes. New ids follow the greatest of ``known_ids`` where
+    ``current`` is a part of the table only.
     """
     latest = latest_per_key(changes, keys, *([order] if order else []), *overwrite)
     new = latest.select(*[F.coalesce(F.col(k), F.lit("")).alias(f"__k_{k}") for k in keys],
@@ -170,7 +171,7 @@ def upsert(current: DataFrame, changes: DataFrame, keys: Sequence[str], overwrit
     fresh = new.join(known, [f"__k_{k}" for k in keys], "left_anti")
     fresh = fresh.withColumnsRenamed({f"__k_{k}": k for k in keys}).withColumnsRenamed({f"__{c}": c for c in overwrite}).drop("__new")
     if "id" in current.columns and "id" not in keys:
-        fresh = next_ids(fresh, current, list(keys))
+        fresh = next_ids(fresh, current if known_ids is None else known_ids, list(keys))
     stamps = {c: F.lit(now) for c in ("created_at", "updated_at") if c in current.columns}
     defaults = {c: F.lit(d) for c, d in V.CRM_DEFAULTS.items() if c in current.columns and c not in overwrite}
     fresh = fresh.withColumns({**stamps, **defaults})

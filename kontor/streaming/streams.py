@@ -10,6 +10,7 @@ from pyspark.sql.streaming import DataStreamWriter
 
 from kontor.operators.common import total
 from kontor.operators.research import apply_results, report_counters
+from kontor.sources import snapshots
 
 
 def stream_latest_by_key(stream: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
@@ -19,6 +20,19 @@ def stream_latest_by_key(stream: DataFrame, keys: Sequence[str], order: str) ->
     return latest.select(*keys, "latest.*")
 
 
+def keep_latest(stream: DataFrame, keys: Sequence[str], order: str, folder: str) -> DataStreamWriter:
+    """Latest row per key in a bucketed table (T-2): a batch hands over the keys it changed and rewrites their buckets only.
+
+    ``folder`` holds a table stored by ``snapshots.create`` under the same keys. Batch n is version n + 1, so a batch that
+    is run again changes nothing.
+    """
+    def store(batch: DataFrame, batch_id: int) -> None:
+        values = [c for c in batch.columns if c not in keys]
+        snapshots.upsert(batch.sparkSession, folder, batch, keys, values, "", order=order, version=batch_id + 1)
+
+    return stream_latest_by_key(stream, keys, order).writeStream.outputMode("update").foreachBatch(store)
+
+
 def stream_report_counters(changes: DataFrame) -> DataFrame:
     """Report counters maintained per arriving change; complete mode (T-3)."""
     return changes.groupBy().agg(*report_counters())
