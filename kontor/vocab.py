@@ -255,6 +255,12 @@ ROLE_WORDS = {
     "representative_names": ("vertreten durch", "vertretungsberechtigt", "vertretungsberechtigte person", "vorstand", "vorstände",
                              "verantwortlich gemäß", "verantwortlich für inhalt", "verantwortlich für den inhalt"),
 }
+# Legal forms, the most specific first; words that name a court of registration.
+LEGAL_FORMS = ("GmbH & Co. KG", "PartG mbB", "UG (haftungsbeschränkt)", "e.Kfr.", "e.Kfm.", "e.K.", "GmbH", "AG", "GbR", "OHG", "KG", "PartG", "e.V.",
+               "Stiftung", "Einzelunternehmen")
+COURT_WORDS = ("amtsgericht", "registergericht", "handelsregister AG")
+CONTEXT_WORDS = ("hotline", "kontakt", "mobil", "phone", "tel", "telefon", "zentrale")
+FAX_WORDS = ("fax", "telefax")
 UNRELATED_WORDS = ("datenschutzbeauftrag", "webdesign", "webagentur", "hosting", "hoster", "support", "technischer kontakt",
                    "technischen kontakt", "fax")
 FIRM_WORDS = ("firma", "unternehmen", "anbieter", "diensteanbieter", "betreiber")
