@@ -131,6 +131,7 @@ def fit(packed: list[bytes], labels: list[str], landmarks: int = LANDMARKS, ridg
 
 def training_rows(docs: DataFrame, text: str, key: str, language: str, rows: int) -> DataFrame:
     """(language, packed presence) of the sample: per language the rows first by digest of their id, ``rows`` in all."""
+    spark = docs.sparkSession
     known = docs.filter(F.col(language).isNotNull() & F.col(text).isNotNull()).select(
         F.col(key).cast("string").alias("id"), F.col(language).cast("string").alias("language"))
     counts = known.groupBy("language").count()
@@ -138,11 +139,21 @@ def training_rows(docs: DataFrame, text: str, key: str, language: str, rows: int
     common = set(counts.filter(F.col("count") >= LEAST_ROWS).collect()) | set(counts.orderBy(F.desc("count"), "language").limit(LANGUAGES).collect())
     names, count = sorted(r.language for r in common), len(common)
     each = max(LEAST_ROWS, rows // max(1, count))
-    # first within groups of input partitions, then over the few rows these leave: no task ranks a whole language
-    order = [F.md5(F.coalesce("id", F.lit("")).cast("binary")), F.col("id")]
-    ids = known.filter(F.col("language").isin(names)).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(RANK_PARTS)))
+    # digests are spread evenly, so the first ``each`` of a language lie below a share of their range that its count tells,
+    # with room; a language of which too few do, as many rows bear few ids, is ranked whole, in parts first
+    digest = F.md5(F.coalesce("id", F.lit("")).cast("binary"))
+    lead = F.conv(F.substring(digest, 1, 8), 16, 10).cast("long")
+    counted = {r.language: r["count"] for r in common}
+    below = {x: min(1.0, (each + 6 * each ** 0.5 + 20) / n) for x, n in counted.items()}
+
+    def cut(shares: dict[str, float]) -> DataFrame:
+        limits = spark.createDataFrame([(x, int(share * 2 ** 32)) for x, share in shares.items()], "language string, below long")
+        return known.join(F.broadcast(limits), "language").filter(lead < F.col("below")).drop("below")
+
+    enough = {r.language for r in cut(below).groupBy("language").count().collect() if r["count"] >= min(each, counted[r.language])}
+    ids = cut({x: share if x in enough else 1.0 for x, share in below.items()}).withColumn("part", F.pmod(F.spark_partition_id(), F.lit(RANK_PARTS)))
     for keys in (["language", "part"], ["language"]):
-        ids = ids.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).filter(F.col("n") <= each)
+        ids = ids.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(digest, "id"))).filter(F.col("n") <= each)
     # at most rows + LEAST_ROWS x languages ids: small by construction
     wanted = F.broadcast(ids.select(F.col("id").alias("__id"), F.col("language").alias("__language")).distinct())
     texts = docs.select(F.col(key).cast("string").alias("id"), F.col(language).cast("string").alias("language"), F.col(text).alias("text")).join(
