@@ -12,7 +12,7 @@ from kontor.operators import crm, dashboard, enrich, filters, imprint, merge, pa
 from kontor.operators.common import nth_of_key, with_row_no
 from kontor.plans import oracle as O
 from kontor.plans.catalog import _as_customers, query
-from kontor.plans.views import NOW
+from kontor.plans.views import NOW, load
 from kontor.session import fresh_path, written
 from kontor.sources import snapshots, tables
 from kontor.streaming import streams
@@ -260,17 +260,50 @@ query("with_enrichment", "J2 F21", f"""SELECT r.id, cast(CASE WHEN e.company_key
     lambda i: enrich.with_enrichment(_as_customers(i.companies), tables.decode_enrichments(i.enrichments)).select("id", "WEBSITE_SCORE", "INDUSTRY"))
 
 
-def _research(i) -> DataFrame:
-    requests = i.candidates.select("company_name", "city").dropDuplicates().withColumns({
-        "street": F.when(F.length("company_name") % 2 == 0, "Musterstr. 1").otherwise(""), "zipcode": F.lit(""), "country": F.lit("")})
-    return research.research(requests, i.companies, i.candidates, _parsed(i), NOW)
+def _research(i, force: bool) -> DataFrame:
+    view = lambda name: load(i.spark, i.sf_dir, name)
+    parsed = written(pages.parse_pages(tables.scan_pages(view("v_offer_pages"))), "parsed")
+    done = research.research(view("v_requests").drop("k"), view("v_stored"), view("v_offers"), parsed, NOW, force_refresh=force)
+    return done.drop("country", "zipcode", "city")
 
 
-query("research", "E23 E24 W5 J13 J20")(_research)
-query("first_accepted_candidate", "W5", """SELECT company_name, city, 'Bisherige Firmenbewertung' AS match_reason FROM v_candidates GROUP BY ALL""", "v_candidates")(
-    lambda i: research.first_accepted_candidate(research.rank_candidates(i.candidates).withColumns({
-        "street": F.lit(""), "zipcode": F.lit(""), "phone": F.lit(""), "email": F.lit(""),
-        "addresses": F.array().cast("array<struct<street:string,zipcode:string,city:string>>")})).select("company_name", "city", "match_reason"))
+# What a check of company k must give: whether the store answers, and which site shows the requested address.
+_FIRST = "(k % 5 = 3 OR k % 4 = 0)"  # the first site agrees: no street to compare, or the right address
+_CHECKS = f"""SELECT *, CASE WHEN {{hit}} THEN 'store' WHEN {{first}} AND {_FIRST} THEN 'first' WHEN k % 11 <> 5 AND k % 3 = 0 THEN 'second' ELSE '' END AS via
+  FROM (SELECT r.*, host, s.id, s.owner AS held, coalesce(s.status, '') AS held_status, k % 6 = 0 OR k % 6 = 1 AS stored FROM v_requests r JOIN v_site USING (k) LEFT JOIN v_stored s USING (company_name))"""
+_REASON = f"""CASE via WHEN 'store' THEN '' WHEN 'first' THEN {{first}} WHEN 'second' THEN 'Adresse plausibel'
+  ELSE CASE WHEN k % 11 = 5 THEN 'Kein passender Webauftritt' WHEN k % 3 = 1 OR k % 4 = 2 THEN 'Adresse auf Website nicht gefunden' ELSE 'Straße stimmt nicht überein' END END"""
+_ACCEPTED = "CASE WHEN k % 5 = 3 THEN 'Bisherige Firmenbewertung' ELSE 'Adresse plausibel' END"
+
+
+def _checked(hit: str, first: str, reason: str) -> str:
+    return f"""SELECT company_name, street, CASE via WHEN 'second' THEN 'https://zwei-' || host || '/' WHEN '' THEN '' ELSE 'https://' || host || '/' END AS website,
+  CASE via WHEN 'store' THEN '+49 30 ' || (500000 + k) WHEN 'first' THEN '+49 30 ' || (200000 + k) WHEN 'second' THEN '+49 221 ' || (600000 + k) ELSE '' END AS phone,
+  CASE WHEN via = 'store' OR (via = 'first' AND k % 2 = 0) THEN 'info@' || host ELSE '' END AS email, coalesce(held, '') AS owner,
+  CASE WHEN via = '' THEN 'Nicht gefunden' WHEN via = 'store' OR (via = 'first' AND k % 2 = 0) THEN 'Vollständig' ELSE 'Aktiv' END AS status,
+  CASE via WHEN 'store' THEN CASE WHEN k % 4 = 3 THEN 'SQLite' ELSE 'Website' END WHEN '' THEN 'Keine Website' ELSE 'Website' END AS source,
+  CASE via WHEN 'store' THEN '2024-01-02 10:00' ELSE '{NOW[:16]}' END AS last_check, id AS customer_id, {_REASON.format(first=reason)} AS match_reason,
+  via <> 'store' OR k % 4 < 2 AS changed FROM ({_CHECKS.format(hit=hit, first=first)})"""
+
+
+_CHECK_VIEWS = ("v_site", "v_requests", "v_offers", "v_stored")
+query("research", "E23 E24 E17 W4 W5 J13 J20", _checked("stored AND (k % 6 = 1 OR k % 5 = 3)", "k % 11 <> 5", _ACCEPTED), *_CHECK_VIEWS)(lambda i: _research(i, False))
+# Forced: the store never answers, but its site is tried first, and then gives no reason of its own.
+query("research_forced", "E23 E24 F20 W5 J13 J20", _checked("false", "(stored OR k % 11 <> 5)", f"CASE WHEN stored THEN '' ELSE {_ACCEPTED} END"), *_CHECK_VIEWS)(lambda i: _research(i, True))
+query("first_accepted_candidate", "W4 W5 J13", """SELECT company_name, city, CASE WHEN k % 5 = 3 OR k % 4 = 0 THEN 'https://' || host || '/' WHEN k % 3 = 0 THEN 'https://zwei-' || host || '/' ELSE '' END AS website,
+  CASE WHEN k % 5 = 3 THEN 'Bisherige Firmenbewertung' WHEN k % 4 = 0 OR k % 3 = 0 THEN 'Adresse plausibel' WHEN k % 4 = 2 OR k % 3 = 1 THEN 'Adresse auf Website nicht gefunden' ELSE 'Straße stimmt nicht überein' END AS match_reason
+  FROM v_requests JOIN v_site USING (k) WHERE k % 11 <> 5""", "v_site", "v_requests")(lambda i: _accepted(i))
+
+
+def _accepted(i) -> DataFrame:
+    """Candidates judged by the addresses that their own pages show."""
+    view = lambda name: load(i.spark, i.sf_dir, name)
+    found = pages.contact_candidates(enrich.clean_pages(pages.parse_pages(tables.scan_pages(view("v_offer_pages")))))
+    contacts = pages.site_contacts(found, ["site"]).withColumnRenamed("site", "domain")
+    ranked = research.rank_candidates(view("v_offers")).join(view("v_requests").select("company_name", "city", "street", "zipcode"), ["company_name", "city"])
+    judged = research.first_accepted_candidate(ranked.join(contacts, "domain", "left"))
+    return judged.select("company_name", "city", "website", "match_reason")
+
 
 # ------------------------------------------------------------------ streams: driven to completion over the table's files
 

@@ -171,21 +171,42 @@ UNION ALL SELECT 8 * k + 3, base || '/kontakt/berlin', '<title>Berlin</title><p>
 UNION ALL SELECT 8 * k + 4, base || '/kontakt/hamburg', '<title>Hamburg</title><a href="mailto:info@' || host || '">m</a>' FROM site
 UNION ALL SELECT 8 * k + 5, base || '/kontakt/koeln', '<title>Köln</title><p>Telefon: 0221 ' || cast(400000 + k as string) || '</p>' FROM site"""
 
+# Company checks: per supplier a request, often two candidate websites, sometimes a stored company. The first site shows the
+# requested address, another house number, none, or another town; the second site is right, not stored, or not offered.
+V_REQUESTS = """
+SELECT k, 'Firma ' || w AS company_name, 'Dresden' AS city, CASE WHEN k % 5 = 3 THEN '' ELSE 'Lindenweg ' || cast(k % 40 + 1 as string) END AS street, '01067' AS zipcode, '' AS country FROM site"""
+V_OFFERS = """
+SELECT company_name, city, 2 * k AS pos, 'https://' || host || '/?utm_source=suche' AS url, company_name AS title FROM v_requests JOIN site USING (k) WHERE k % 11 <> 5
+UNION ALL SELECT company_name, city, 2 * k + 1, 'https://zwei-' || host || '/', 'Backstube' FROM v_requests JOIN site USING (k) WHERE k % 11 <> 5 AND k % 3 < 2"""
+V_OFFER_PAGES = """
+SELECT 4 * k AS page_id, 'https://' || host || '/' AS url, '<title>Start</title><p>Telefon: 030 ' || cast(200000 + k as string) || '</p><a href="/impressum">Impressum</a>' AS html FROM site
+UNION ALL SELECT 4 * k + 1, 'https://' || host || '/impressum', '<title>Impressum</title><p>wir sind hier: ' || CASE k % 4 WHEN 0 THEN 'Lindenweg ' || cast(k % 40 + 1 as string) || ', 01067 Dresden'
+  WHEN 1 THEN 'Lindenweg 99, 01067 Dresden' WHEN 2 THEN 'gleich am Markt' ELSE 'Lindenweg ' || cast(k % 40 + 1 as string) || ', 10115 Berlin' END || '</p>'
+  || CASE WHEN k % 2 = 0 THEN '<a href="mailto:info@' || host || '">m</a>' ELSE '' END FROM site
+UNION ALL SELECT 4 * k + 2, 'https://zwei-' || host || '/', '<title>Zwei</title><p>Telefon: 0221 ' || cast(600000 + k as string) || '</p><p>wir sind hier: Lindenweg ' || cast(k % 40 + 1 as string) || ', 01067 Dresden</p>' FROM site WHERE k % 3 = 0"""
+V_STORED = """
+SELECT 1000 + k AS id, company_name, city, CASE WHEN k % 6 = 0 THEN 'Lindenstr. 1' ELSE 'Lindenweg ' || cast(k % 40 + 1 as string) END AS street, 'https://' || host || CASE WHEN k % 4 < 2 THEN '' ELSE '/' END AS website,
+  CASE WHEN k % 4 < 2 THEN '030 ' ELSE '+49 30 ' END || cast(500000 + k as string) AS phone, 'info@' || host AS email, 'Max Muster' AS owner, CASE WHEN k % 4 < 2 THEN 'Nicht aktiv' ELSE 'Vollständig' END AS status,
+  CASE WHEN k % 4 = 3 THEN '' ELSE 'Website' END AS source, '2024-01-02 10:00' AS last_check FROM v_requests JOIN site USING (k) WHERE k % 6 IN (0, 1)"""
+
 VIEWS = {  # in dependency order
     "v_customers": V_CUSTOMERS, "v_import": V_IMPORT, "v_companies": V_COMPANIES, "v_activities": V_ACTIVITIES,
     "v_results": V_RESULTS, "v_paired": V_PAIRED, "v_enrichments": V_ENRICHMENTS, "v_candidates": V_CANDIDATES,
     "v_site": V_SITE, "v_sites": V_SITES.replace("FROM site", "FROM v_site"),
     "v_walks": V_WALKS.replace("FROM site", "FROM v_site"),
+    **{name: text.replace("FROM site", "FROM v_site").replace("JOIN site", "JOIN v_site") for name, text in (
+        ("v_requests", V_REQUESTS), ("v_offers", V_OFFERS), ("v_offer_pages", V_OFFER_PAGES), ("v_stored", V_STORED))},
 }
 _NEEDS = {"v_import": ("v_customers",), "v_activities": ("v_companies",), "v_results": ("v_customers",),
-          "v_paired": ("v_results",), "v_enrichments": ("v_companies",), "v_sites": ("v_site",), "v_walks": ("v_site",)}
+          "v_paired": ("v_results",), "v_enrichments": ("v_companies",), "v_sites": ("v_site",), "v_walks": ("v_site",),
+          "v_requests": ("v_site",), "v_offers": ("v_requests",), "v_offer_pages": ("v_site",), "v_stored": ("v_requests",)}
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A driver table or a domain view as a DataFrame."""
     if name in TABLES:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    text = VIEWS[name] if name in ("v_enrichments", "v_sites", "v_walks") else VIEWS[name].replace('"', "`")
+    text = VIEWS[name] if name in ("v_enrichments", "v_sites", "v_walks", "v_offer_pages") else VIEWS[name].replace('"', "`")
     text = text.replace("{", "{{").replace("}", "}}")
     sources = {t: load(spark, sf_dir, t) for t in (*TABLES, *VIEWS) if re.search(rf"\b(?:FROM|JOIN) {t}\b", text)}
     for source in sources:
