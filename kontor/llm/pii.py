@@ -43,19 +43,6 @@ ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "
 LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaopvikABEZHIKMNOPTYX"))
 HIDDEN = "­​‌‍⁠﻿"
 
-_DIGIT_OF = {word: digit for digit, words in SPELLED.items() for word in words}
-_NUMBER_WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
-_at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
-_OPEN, _CLOSE = r"[\[({<]", r"[\])}>]"
-_PLAIN_DOT = "|".join(DOT_WORDS[:-1])
-_WORDS = ("at", "ät", "arroba", "arobase", "klammeraffe", "@")
-DOT_WORDS = ("dot", "punkt", "point", "punto", "period", r"\.")
-# Endings that an address in plain words must have.
-ENDINGS = ("com", "org", "net", "edu", "gov", "info", "biz", "io", "co", "eu", "de", "fr", "es", "uk", "us", "ch", "at", "it", "nl")
-# Letters of other scripts that look like Latin ones.
-LOOKALIKES = dict(zip("аеорсухіјѕԁһԛԝАВЕКМНОРСТУХІЈЅαορνικΑΒΕΖΗΙΚΜΝΟΡΤΥΧ", "aeopcyxijsdhqwABEKMHOPCTYXIJSaopvikABEZHIKMNOPTYX"))
-HIDDEN = "­​‌‍⁠﻿"
-
 _DIGIT_OF = {word: digit for digit, words in SPELLED.items() for word in words}
 _NUMBER_WORD = "|".join(sorted(_DIGIT_OF, key=len, reverse=True))
 _at, _dot = "|".join(AT_WORDS), "|".join(DOT_WORDS)
