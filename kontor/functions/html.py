@@ -128,7 +128,7 @@ class PageReader(HTMLParser):
         text = node.text()
         if tag == "title" and self.title is None:
             self.title = text
-        elif tag in ("h1", "h2") and len(self.headings) < 8:
+        elif tag in ("h1", "h2"):
             self.headings.append(_squeeze(text))
         elif tag == "a" and "href" in attrs:
             self.links[node.extra["slot"]] = (joined(self.url, attrs["href"]), attrs["href"], text, node.hidden)
