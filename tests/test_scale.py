@@ -28,3 +28,11 @@ def test_exploded_sides_are_not_broadcast_by_the_size_of_their_file(tuned, tmp_p
     rows = tuned.read.parquet(f"{tmp_path}/names")
     assert "Broadcast" not in planned(similarity.blocked_similar(rows))
     assert "Broadcast" not in planned(similarity.similar_names(rows.select(rows.n_name.alias("name")).limit(200)))
+
+
+def test_components_forget_the_size_estimates_of_their_rounds(tuned):
+    chain = tuned.createDataFrame([(k, k + 1) for k in range(120)], "row_a long, row_b long")
+    found = similarity.connected_components(chain)
+    assert {r.component for r in found.collect()} == {0} and found.count() == 121
+    size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
+    assert len(str(size)) < 10, "each round multiplied the estimate of the round before"
