@@ -1,7 +1,9 @@
 """Steps that must not grow with the table on the driver or in one task: plans and batch sizes on small tables."""
 
 import pytest
+from pyspark.sql import functions as F
 
+from kontor.functions import address as A
 from kontor.operators import similarity
 from kontor.session import tune
 
@@ -36,3 +38,13 @@ def test_components_forget_the_size_estimates_of_their_rounds(tuned):
     assert {r.component for r in found.collect()} == {0} and found.count() == 121
     size = found._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()
     assert len(str(size)) < 10, "each round multiplied the estimate of the round before"
+
+
+def test_addresses_are_folded_once(spark):
+    rows = spark.sql("SELECT 'Hauptstraße 3 a' AS a, 'Hauptstr. 3A' AS b, array(named_struct('street', 'Hauptstr. 3a', 'zipcode', '01067', 'city', 'Dresden')) AS found")
+    matched = rows.select(A.street_match(F.col("a"), F.col("b")).alias("m"))
+    agreed = rows.select(A.address_state(F.col("a"), F.lit("01067"), F.lit("DRESDEN"), F.col("found")).alias("m"))
+    for df in (matched, agreed):
+        assert df.first().m == "match"
+        # two texts, each folded in one place
+        assert df._jdf.queryExecution().analyzed().toString().count("strasse)") <= 2
