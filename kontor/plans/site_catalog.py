@@ -203,7 +203,12 @@ def _parsed(i) -> DataFrame:
 
 
 _UNESCAPED = "trim(regexp_replace(replace(regexp_extract(html, '<title>(.*?)</title>', 1), '&amp;', '&'), '\\s+', ' ', 'g'))"
-query("parse_pages", "E1 E4 E8", f"""SELECT page_id AS pos, {_UNESCAPED} AS title, len(regexp_extract_all(html, '<h[12][^>]*>')) AS headings, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, contains(html, '<form') AS has_form FROM pages""")(
+# Character references are read as a browser reads them, also those that a cut title leaves without semicolon.
+_TITLE = "regexp_extract(html, '<title>(.*?)</title>', 1)"
+for _name, _sign in (("quot", '"'), ("lt", "<"), ("gt", ">"), ("#x27", "''"), ("#39", "''"), ("amp", "&")):
+    _TITLE = f"regexp_replace({_TITLE}, '&{_name};?', '{_sign}', 'g')"
+_TITLE = f"trim(regexp_replace({_TITLE}, '\\s+', ' ', 'g'))"
+query("parse_pages", "E1 E4 E8", f"""SELECT page_id AS pos, {_TITLE} AS title, len(regexp_extract_all(html, '<h[12][^>]*>')) AS headings, len(regexp_extract_all(html, '<a [^>]*href=')) AS links, contains(html, '<form') AS has_form FROM pages""")(
     lambda i: _parsed(i).select("pos", T.collapse(F.col("title")).alias("title"), F.size("headings").cast("bigint").alias("headings"), F.size("links").cast("bigint").alias("links"), "has_form"))
 _KIND = "CASE " + " ".join(f"WHEN regexp_matches({{v}}, '{'|'.join(w)}') THEN '{k}'" for k, w in V.PAGE_KEYWORDS.items()) + " ELSE 'home' END"
 query("classify_pages", "E2", f"SELECT page_id AS pos, {_KIND.format(v='v')} AS kind FROM (SELECT page_id, {O.fold(f'''url || ' ' || {_UNESCAPED}''')} AS v FROM pages)")(

@@ -48,3 +48,18 @@ def test_addresses_are_folded_once(spark):
         assert df.first().m == "match"
         # two texts, each folded in one place
         assert df._jdf.queryExecution().analyzed().toString().count("strasse)") <= 2
+
+
+def test_titles_of_the_sql_decode_references_as_the_parser_does(tmp_path):
+    import duckdb
+
+    from __spark_entry__ import oracle_sql
+    from kontor.functions.html import read_page
+
+    titles = ["a &amp; b", "token = &quot;x", "cut &amp", "cut &quot", "&lt;b&gt;", "it&#x27;s", "&amp;quot;", "plain &am"]
+    pages = [(k, f"<html><title>{t}</title></html>") for k, t in enumerate(titles)]
+    con = duckdb.connect()
+    con.execute("CREATE TABLE pages (page_id bigint, html varchar)")
+    con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
+    stated = {r[0]: r[1] for r in con.execute(oracle_sql()["parse_pages"]).fetchall()}
+    assert stated == {k: read_page("", html)["title"] for k, html in pages}
