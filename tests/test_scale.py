@@ -11,10 +11,11 @@ from kontor.session import tune
 @pytest.fixture
 def tuned(spark):
     """The session as queries set it, from a driver's defaults; put back afterwards."""
-    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold")
+    names = ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.autoBroadcastJoinThreshold", "spark.sql.execution.arrow.maxRecordsPerBatch")
     before = {n: spark.conf.get(n, None) for n in names}
     spark.conf.set(names[0], "10m")
     spark.conf.unset(names[1])
+    spark.conf.unset(names[2])
     yield tune(spark)
     for n, value in before.items():
         spark.conf.unset(n) if value is None else spark.conf.set(n, value)
@@ -63,3 +64,9 @@ def test_titles_of_the_sql_decode_references_as_the_parser_does(tmp_path):
     con.executemany("INSERT INTO pages VALUES (?, ?)", pages)
     stated = {r[0]: r[1] for r in con.execute(oracle_sql()["parse_pages"]).fetchall()}
     assert stated == {k: read_page("", html)["title"] for k, html in pages}
+
+
+def test_a_python_worker_holds_few_pages_at_a_time(tuned):
+    rows = tuned.range(0, 3000, 1, 1)
+    sizes = [r.n for r in rows.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]] for b in batches), "n long").collect()]
+    assert len(sizes) == 3000 and max(sizes) <= 500
