@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kontor.functions import address as A
-from kontor.operators import similarity
+from kontor.operators import merge, similarity
 from kontor.session import tune
 
 
@@ -70,3 +70,11 @@ def test_a_python_worker_holds_few_pages_at_a_time(tuned):
     rows = tuned.range(0, 3000, 1, 1)
     sizes = [r.n for r in rows.mapInPandas(lambda batches: (b.assign(n=len(b))[["n"]] for b in batches), "n long").collect()]
     assert len(sizes) == 3000 and max(sizes) <= 500
+
+
+def test_conflicting_values_explode_behind_the_only_shuffle(spark):
+    fields = ", ".join(f"cast(id % 3 AS string) AS {f}" for f in merge._CONFLICTING)
+    companies = spark.sql(f"SELECT id, concat('Firma ', id % 10) AS company_name, 'Ort' AS city, {fields} FROM range(100)")
+    listed = merge.company_conflicts(companies)
+    assert listed._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
+    assert {tuple(r["values"]) for r in listed.collect()} == {("0", "1", "2")} and listed.count() == 10 * len(merge._CONFLICTING)
