@@ -4,7 +4,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from kontor.functions import address as A
-from kontor.operators import merge, similarity
+from kontor.functions import text as T
+from kontor.operators import merge, quality, research, similarity
 from kontor.session import tune
 
 
@@ -78,3 +79,29 @@ def test_conflicting_values_explode_behind_the_only_shuffle(spark):
     listed = merge.company_conflicts(companies)
     assert listed._jdf.queryExecution().executedPlan().toString().count("hashpartitioning(") == 1
     assert {tuple(r["values"]) for r in listed.collect()} == {("0", "1", "2")} and listed.count() == 10 * len(merge._CONFLICTING)
+
+
+def test_name_groups_normalise_every_cell_once_and_in_many_tasks(spark):
+    rows = spark.sql("""SELECT id AS row_no, CASE WHEN id % 5 = 4 THEN ' ' ELSE concat('Firma ', id % 5) END AS KUNDENNAME, 'Ort' AS CITY,
+        CASE WHEN id = 1 THEN 'a@firma-eins.de' ELSE '' END AS EMAIL FROM range(0, 50, 1, 1)""")
+    groups = quality.name_groups(quality.normalize_rows(rows), ["KUNDENNAME", "CITY", "EMAIL"])
+    plan = groups._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "REPARTITION_BY_NUM" in plan
+    assert {(r.n_name, r.size, r.category) for r in groups.collect()} == {(f"firma {k}", 10, "safe" if k == 1 else "identical") for k in range(4)}
+
+
+def test_plain_text_is_not_searched_for_other_scripts(spark):
+    rows = spark.createDataFrame([("Firma Ä",), ("Ｆｉｒｍａ",), ("ｶﾞ GmbH",), (None,)], "name string").select(T.text(F.col("name")).alias("t"))
+    assert [r.t for r in rows.collect()] == ["Firma Ä", "Firma", "ガ GmbH", ""]
+    kernel = rows._jdf.queryExecution().executedPlan().toString().partition("_normalized(")[2]
+    assert kernel.index(T._NON_ASCII) < kernel.index(T._OTHER_SCRIPT[:14])
+
+
+def test_customers_and_results_are_not_broadcast_by_the_size_of_their_file(tuned, tmp_path):
+    tuned.sql("SELECT id AS row_no, id AS ID, concat('firma ', id) AS KUNDENNAME, 'ort' AS CITY, 'Weg 1' AS STRASSE, 'https://alt.de' AS WEBSITE, 'Hotel' AS INDUSTRY FROM range(2000)").write.parquet(f"{tmp_path}/customers")
+    tuned.sql("""SELECT c.id AS result_no, concat('firma ', c.id) AS company, 'ort' AS city, c.id AS customer_id, 'Weg 1' AS street, 'https://neu.de' AS website, '' AS phone, '' AS email,
+        'Aktiv' AS status, 'Website' AS source, '' AS last_check FROM range(500) c""").write.parquet(f"{tmp_path}/results")
+    customers, results = (tuned.read.parquet(f"{tmp_path}/{name}") for name in ("customers", "results"))
+    applied = research.apply_results(customers, results.join(customers.select(F.col("ID").alias("customer_id")), "customer_id"))
+    assert "Broadcast" not in planned(applied)
+    assert applied.filter("WEBSITE = 'https://neu.de' AND INDUSTRY = ''").count() == 500
