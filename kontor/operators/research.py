@@ -14,7 +14,7 @@ from kontor.functions import address as A
 from kontor.functions import contacts as C
 from kontor.functions import text as T
 from kontor.functions import web as U
-from kontor.operators.common import ROW_NO, attach, first_column, keep_where, nth_of_key, one_per_key, one_row, present, total
+from kontor.operators.common import ROW_NO, attach, first_column, keep_where, nth_of_key, one_per_key, one_row, present, spread, total
 from kontor.operators.filters import is_current
 from kontor.session import checkpointed
 
@@ -86,7 +86,7 @@ def match_results(customers: DataFrame, results: DataFrame, values: Column, *, u
     that a customer has, each address its latest result, each row its latest address; the wide customer rows
     move once, at the end.
     """
-    keyed = _keyed_customers(customers, use_street)
+    keyed = _keyed_customers(spread(customers), use_street)
     tiers = _tiers(keyed, use_street)
     mine = checkpointed(_addresses(keyed, tiers, [ROW_NO]).drop("__tier"))
     owner = ["result_no", "__key", "customer_id", "street"] if "street" in results.columns else ["result_no", "__key", "customer_id"]
