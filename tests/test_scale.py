@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from kontor import vocab as V
 from kontor.functions import address as A
 from kontor.functions import text as T
 from kontor.operators import merge, quality, research, similarity
@@ -105,3 +106,12 @@ def test_customers_and_results_are_not_broadcast_by_the_size_of_their_file(tuned
     applied = research.apply_results(customers, results.join(customers.select(F.col("ID").alias("customer_id")), "customer_id"))
     assert "Broadcast" not in planned(applied)
     assert applied.filter("WEBSITE = 'https://neu.de' AND INDUSTRY = ''").count() == 500
+
+
+def test_a_merge_normalises_and_ranks_the_companies_once(spark):
+    fields = ", ".join(f"CASE WHEN id % 2 = 0 THEN '' ELSE 'x' END AS {f}" for f in V.MERGE_FIELDS)
+    companies = spark.sql(f"SELECT id, concat('Firma ', id DIV 2) AS company_name, 'Ort' AS city, {fields} FROM range(10)")
+    activities = spark.sql("SELECT id, 2 * id AS company_id, '' AS company_key, '' AS company_name, '' AS city FROM range(2)")
+    merged = merge.merge_companies(companies, activities)["companies"]
+    assert merged._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
+    assert sorted(r.id for r in merged.collect()) == [0, 2, 5, 7, 9]
