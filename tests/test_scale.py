@@ -8,6 +8,7 @@ from kontor.functions import address as A
 from kontor.functions import text as T
 from kontor.operators import merge, quality, research, similarity
 from kontor.session import tune
+from kontor.streaming import streams
 
 
 @pytest.fixture
@@ -115,3 +116,22 @@ def test_a_merge_normalises_and_ranks_the_companies_once(spark):
     merged = merge.merge_companies(companies, activities)["companies"]
     assert merged._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 0
     assert sorted(r.id for r in merged.collect()) == [0, 2, 5, 7, 9]
+
+
+def test_a_stream_of_results_broadcasts_no_side_by_the_size_of_its_file(tuned, tmp_path, monkeypatch):
+    tuned.sql("SELECT id AS row_no, id AS ID, concat('firma ', id) AS KUNDENNAME, 'ort' AS CITY, 'Weg 1' AS STRASSE, 'https://alt.de' AS WEBSITE FROM range(2000)").write.parquet(f"{tmp_path}/customers")
+    customers, plans, done = tuned.read.parquet(f"{tmp_path}/customers"), [], []
+
+    def applied(table, batch):
+        plans.append(planned(out := research.apply_results(table, batch)))
+        return out
+
+    monkeypatch.setattr(streams, "apply_results", applied)
+    for no in (1, 2):
+        tuned.sql(f"""SELECT {no} * 1000 + id AS result_no, concat('firma ', id) AS company, 'ort' AS city, id AS customer_id, 'Weg 1' AS street, 'https://neu{no}.de' AS website, '' AS phone, '' AS email,
+            'Aktiv' AS status, 'Website' AS source, '' AS last_check FROM range({no} * 100)""").write.mode("append").parquet(f"{tmp_path}/results")
+        arriving = tuned.readStream.schema(tuned.read.parquet(f"{tmp_path}/results").schema).parquet(f"{tmp_path}/results")
+        run = streams.stream_apply_results(arriving, lambda: tuned.read.parquet(done[-1]) if done else customers, f"{tmp_path}/applied", done.append)
+        run.option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
+    assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
+    assert tuned.read.parquet(done[-1]).groupBy("WEBSITE").count().sort("WEBSITE").collect() == [("https://alt.de", 1800), ("https://neu2.de", 200)]
