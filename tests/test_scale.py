@@ -135,3 +135,14 @@ def test_a_stream_of_results_broadcasts_no_side_by_the_size_of_its_file(tuned, t
         run.option("checkpointLocation", f"{tmp_path}/log").trigger(availableNow=True).start().awaitTermination()
     assert len(plans) == 2 and not any("Broadcast" in plan for plan in plans)
     assert tuned.read.parquet(done[-1]).groupBy("WEBSITE").count().sort("WEBSITE").collect() == [("https://alt.de", 1800), ("https://neu2.de", 200)]
+
+
+def test_similar_pairs_and_their_statistics_broadcast_no_side_by_the_size_of_its_file(tuned, tmp_path):
+    tuned.sql("SELECT concat('firma ', id DIV 2, ' ', repeat('x', 20)) AS KUNDENNAME, 'ort' AS CITY FROM range(400)").write.parquet(f"{tmp_path}/names")
+    rows = tuned.read.parquet(f"{tmp_path}/names")
+    pairs = similarity.similar_pairs(rows)
+    assert "Broadcast" not in planned(pairs)
+    statistics = similarity.duplicate_statistics(rows)
+    assert "Broadcast" not in planned(statistics)
+    listed = pairs.agg(F.sum("row_pairs")).first()[0]
+    assert statistics.first().asDict() == {"rows": 400, "exact_duplicates": 400, "similar_duplicates": 2 * listed} and listed >= 200
