@@ -161,8 +161,8 @@ def _page_source(url: Column) -> Column:
             .when(F.contains(low, F.lit("impress")), "imprint").otherwise("text"))
 
 
-def contact_candidates(parsed: DataFrame) -> DataFrame:
-    """Phone, e-mail and address candidates of every page, in the order they are found."""
+def with_candidates(parsed: DataFrame) -> DataFrame:
+    """Pages with their phone, e-mail and address candidates, in the order they are found."""
     source = _page_source(F.col("url"))
     visible_links = F.filter("links", lambda x: ~x["hidden"])
 
@@ -188,7 +188,12 @@ def contact_candidates(parsed: DataFrame) -> DataFrame:
     addresses = F.concat(
         F.transform(found, lambda a: place(a, F.lit(""), source)),
         F.transform(F.filter("jsonld", lambda n: n["street"] != ""), lambda n: place(n, n["country"], F.lit("jsonld"))))
-    return parsed.select("site", "pos", "url", phones.alias("phones"), emails.alias("emails"), addresses.alias("addresses"))
+    return parsed.withColumns({"phones": phones, "emails": emails, "addresses": addresses})
+
+
+def contact_candidates(parsed: DataFrame) -> DataFrame:
+    """The candidates of every page without its content."""
+    return with_candidates(parsed).select("site", "pos", "url", "phones", "emails", "addresses")
 
 
 def choose_phone(candidates: DataFrame, keys: list[str], order: Column) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from kontor import vocab as V
 from kontor.functions import text as T
 from kontor.functions import web as U
-from kontor.operators.common import attach
+from kontor.operators.common import attach, spread
 from kontor.operators.enrich import analyze_sites
 from kontor.operators.filters import is_current
 from kontor.operators.pages import parse_pages
@@ -56,7 +56,7 @@ def refresh_analysis(requests: DataFrame, pages: DataFrame, stored: DataFrame |
                                          F.col("__result").withField("from_cache", F.lit(True)).alias("result"))
     stale = tagged.filter("NOT hit")
     needed = pages.join(stale.select("site").distinct(), "site", "left_semi")
-    parsed = written(parse_pages(needed), "parsed")
+    parsed = written(parse_pages(spread(needed, "pos")), "parsed")
     fresh = analyze_sites(stale.select(*columns, "website", "customer_id"), parsed, now)
     fresh = fresh.join(stale.select("result_no", *extra), "result_no")
     return reused.unionByName(fresh)

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 from kontor import vocab as V
 from kontor.functions import address as A
 from kontor.functions import text as T
-from kontor.operators import merge, quality, research, similarity
-from kontor.session import tune
+from kontor.operators import enrich, merge, quality, refresh, research, similarity
+from kontor.session import tune, written
+from kontor.sources import tables
 from kontor.streaming import streams
 
 
@@ -146,3 +147,21 @@ def test_similar_pairs_and_their_statistics_broadcast_no_side_by_the_size_of_its
     assert "Broadcast" not in planned(statistics)
     listed = pairs.agg(F.sum("row_pairs")).first()[0]
     assert statistics.first().asDict() == {"rows": 400, "exact_duplicates": 400, "similar_duplicates": 2 * listed} and listed >= 200
+
+
+def test_changed_pages_are_parsed_in_all_tasks_and_meet_their_candidates_without_a_join(spark, monkeypatch):
+    plans = {}
+
+    def recorded(df, name):
+        plans[name] = df._jdf.queryExecution().sparkPlan().toString()
+        return written(df, name)
+
+    monkeypatch.setattr(refresh, "written", recorded)
+    monkeypatch.setattr(enrich, "written", recorded)
+    pages = tables.scan_pages(spark.sql("""SELECT 2 * id AS page_id, concat('https://firma-', id, '.de/') AS url, '<title>Start</title><a href="/impressum">Impressum</a><p>Telefon: 030 200001</p>' AS html FROM range(0, 3, 1, 1)
+        UNION ALL SELECT 2 * id + 1, concat('https://firma-', id, '.de/impressum'), '<title>Impressum</title><a href="mailto:info@firma.de">m</a>' FROM range(0, 3, 1, 1)"""))
+    requests = spark.sql("SELECT id AS result_no, concat('Firma ', id) AS company, 'Berlin' AS city, concat('https://firma-', id, '.de') AS website, id AS customer_id FROM range(3)")
+    facts = {f["key"]: f["achieved"] for f in refresh.refresh_analysis(requests, pages, None, "2024-01-20").first().result.website_score_details.criteria}
+    assert facts["phone"] and facts["email"] and facts["imprint"]
+    assert "REPARTITION_BY_NUM" in plans["parsed"]
+    assert plans["site-pages"].count("Join") == 3  # start pages, their links, the pages reached
