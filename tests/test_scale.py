@@ -149,6 +149,15 @@ def test_similar_pairs_and_their_statistics_broadcast_no_side_by_the_size_of_its
     assert statistics.first().asDict() == {"rows": 400, "exact_duplicates": 400, "similar_duplicates": 2 * listed} and listed >= 200
 
 
+def test_statistics_sum_their_pairs_where_they_are_found(tuned, tmp_path, monkeypatch):
+    monkeypatch.setattr(similarity, "SHARD_ROWS", 16)
+    tuned.sql("SELECT concat('firma ', id % 60, ' handel') AS KUNDENNAME, 'ort' AS CITY FROM range(100)").write.parquet(f"{tmp_path}/names")
+    rows = tuned.read.parquet(f"{tmp_path}/names")
+    statistics = similarity.duplicate_statistics(rows)
+    assert "name_a" not in planned(statistics)  # no pair leaves its blocks
+    assert statistics.first().similar_duplicates == 2 * similarity.similar_pairs(rows).agg(F.sum("row_pairs")).first()[0]
+
+
 def test_changed_pages_are_parsed_in_all_tasks_and_meet_their_candidates_without_a_join(spark, monkeypatch):
     plans = {}
 
