@@ -149,6 +149,18 @@ def test_similar_pairs_and_their_statistics_broadcast_no_side_by_the_size_of_its
     assert statistics.first().asDict() == {"rows": 400, "exact_duplicates": 400, "similar_duplicates": 2 * listed} and listed >= 200
 
 
+def test_similar_pairs_leave_their_blocks_finished(tuned, tmp_path, monkeypatch):
+    monkeypatch.setattr(similarity, "SHARD_ROWS", 8)
+    long = "straße " * 9
+    names = [f"{long[:n]}{end}" for n in (0, 30, 56, 63) for end in ("haus", "haus a", "haus ab", "häuser", "handel")] + ["a" * 64, "a" * 65, "b" + "a" * 63]
+    tuned.createDataFrame([(n,) for n in names], "KUNDENNAME string").write.parquet(f"{tmp_path}/names")
+    pairs = similarity.similar_pairs(tuned.read.parquet(f"{tmp_path}/names"))
+    plan = planned(pairs)
+    assert plan.index("MapInArrow") < plan.index("Join")  # nothing is joined to the pairs
+    wanted = {(a, b, similarity._score(a, b)) for a in names for b in names if a < b and similarity._score(a, b) >= 90}
+    assert sorted((r.name_a, r.name_b, r.match) for r in pairs.collect()) == sorted(wanted) and len(wanted) > 20
+
+
 def test_statistics_sum_their_pairs_where_they_are_found(tuned, tmp_path, monkeypatch):
     monkeypatch.setattr(similarity, "SHARD_ROWS", 16)
     tuned.sql("SELECT concat('firma ', id % 60, ' handel') AS KUNDENNAME, 'ort' AS CITY FROM range(100)").write.parquet(f"{tmp_path}/names")
