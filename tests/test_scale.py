@@ -1,5 +1,6 @@
 """Steps that must not grow with the table on the driver or in one task: plans and batch sizes on small tables."""
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -170,6 +171,29 @@ def test_statistics_sum_their_pairs_where_they_are_found(tuned, tmp_path, monkey
     assert statistics.first().similar_duplicates == 2 * similarity.similar_pairs(rows).agg(F.sum("row_pairs")).first()[0]
 
 
+def test_a_block_of_names_goes_to_its_tasks_and_not_with_every_block_it_meets(tuned, monkeypatch):
+    monkeypatch.setattr(similarity, "SHARD_ROWS", 4)
+    monkeypatch.setattr(similarity, "_STRIPS", 4, raising=False)
+    names, moved = [(f"{no:03} gesellschaft",) for no in range(80)], []
+    frame = type(tuned.range(1))
+    mapped = frame.mapInArrow
+    monkeypatch.setattr(frame, "mapInArrow", lambda df, *args: moved.append(df) or mapped(df, *args))
+    found = similarity.similar_names(tuned.createDataFrame(names, "name string"))
+    rows = [F.size(c) for c, kind in moved[0].dtypes if kind.startswith("array")]
+    assert moved[0].agg(F.sum(sum(rows[1:], rows[0]))).first()[0] <= 4 * 80  # once a strip at most; with every block it was 28 times
+    assert found.count() == sum(similarity._score(a, b) >= 90 for (a,) in names for (b,) in names if a < b)
+
+
+def test_names_are_compared_by_what_they_have_in_common_and_not_pair_by_pair(monkeypatch):
+    names = [f"Firma {a}{b}{c}{d} Handelsgesellschaft" for a in "abcdef" for b in "ghijkl" for c in "mnopqr" for d in "stuvwx"]
+    block = similarity._Block(pa.StructArray.from_arrays([pa.array(names), pa.array([1] * len(names))], names=["name", "n"]))
+    steps, advanced = [], similarity._advanced
+    monkeypatch.setattr(similarity, "_advanced", lambda *args: steps.append(len(args[7])) or advanced(*args))
+    found = [(int(i), int(j)) for left, right, match in similarity._similar(block, block, True, 95) for i, j in zip(left, right)]
+    assert len(found) == len(set(found)) == sum(sum(x != y for x, y in zip(a, b)) == 1 for a in names for b in names) // 2 == 12960
+    assert sum(steps) < 0.1 * len(names) * (len(names) - 1) / 2  # letters of two nodes; one by one, every pair has one at least
+
+
 def test_changed_pages_are_parsed_in_all_tasks_and_meet_their_candidates_without_a_join(spark, monkeypatch):
     plans = {}
 
