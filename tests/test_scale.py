@@ -194,6 +194,16 @@ def test_names_are_compared_by_what_they_have_in_common_and_not_pair_by_pair(mon
     assert sum(steps) < 0.1 * len(names) * (len(names) - 1) / 2  # letters of two nodes; one by one, every pair has one at least
 
 
+def test_no_level_holds_more_nodes_than_two_steps(monkeypatch):
+    monkeypatch.setattr(similarity, "_PAIRS_AT_ONCE", 50)
+    names = [f"{a}{b}{c}{d} Handel" for a in "abcdef" for b in "ghijkl" for c in "mnopqr" for d in "stuvwx"]
+    block = similarity._Block(pa.StructArray.from_arrays([pa.array(names), pa.array([1] * len(names))], names=["name", "n"]))
+    held, children = [], similarity._children
+    monkeypatch.setattr(similarity, "_children", lambda *args: held.append(len(args[5])) or children(*args))
+    assert sum(len(left) for left, _, _ in similarity._similar(block, block, True, 90)) == 12960
+    assert 50 <= max(held) <= 100
+
+
 def test_changed_pages_are_parsed_in_all_tasks_and_meet_their_candidates_without_a_join(spark, monkeypatch):
     plans = {}
 
